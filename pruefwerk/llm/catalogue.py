@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources import table
-from . import encode, pack, split
+from . import encode, neardup, pack, split
 
 
 def _limits(spark: SparkSession, sf_dir: str, field: str) -> tuple[int, int]:
@@ -30,6 +31,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 1").select("field", "record_id")
 
 
+#: The fields of problem 2 by their codes.
+COPY_FIELDS = ["chunks.raw.content", "answers.retrieved_context"]
+
+
+def _copy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "chunks", "chunk_uid", "mode", "content").where("mode = 'raw'")
+    contexts = table(spark, sf_dir, "answers", "answer_id", "retrieved_context")
+    as_record = lambda df, code, key, text: df.select(F.lit(code).alias("field"), F.col(key).alias("id"), F.col(text).alias("text"))
+    return as_record(raw, 0, "chunk_uid", "content").unionByName(as_record(contexts, 1, "answer_id", "retrieved_context"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.all_pairs(*neardup.near_copies(_copy_records(spark, sf_dir)))
+    return pairs.select(neardup.field_names(F.col("field"), COPY_FIELDS).alias("field"), "id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.near_copies(_copy_records(spark, sf_dir))
+    grouped = neardup.groups(cut_lineage(members), cut_lineage(links))
+    return grouped.select(neardup.field_names(F.col("field"), COPY_FIELDS).alias("field"), F.col("id").alias("record_id"), "group_id", "n_links")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -43,7 +66,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p6_ids, p7_containers, p7_fill)}
 
 
 P1_FOUND = """
