@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources import table
-from . import encode, neardup, pack, split
+from . import encode, neardup, pack, pairs, split, truncation
 
 
 def _limits(spark: SparkSession, sf_dir: str, field: str) -> tuple[int, int]:
@@ -53,6 +53,45 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(neardup.field_names(F.col("field"), COPY_FIELDS).alias("field"), F.col("id").alias("record_id"), "group_id", "n_links")
 
 
+def _answer_field() -> Column:
+    return F.when(F.col("system") == "baseline", F.lit("baseline_answer")).otherwise(F.lit("rag_answer"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "answers", "answer_id", "system", "question", "answer")
+    golden = table(spark, sf_dir, "golden", "golden_id", "question", "answer")
+    records = answers.select(_answer_field().alias("field"), F.col("answer_id").alias("record_id"), "question", "answer").unionByName(
+        golden.select(F.lit("golden.answer").alias("field"), F.col("golden_id").alias("record_id"), "question", "answer")
+    )
+    return pairs.defective_pairs(records, "question", "answer")
+
+
+def _cut_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All answers and reasonings once, and those of them that are cut and have no other defect."""
+    answers = table(spark, sf_dir, "answers", "answer_id", "system", "model", "question", "answer").select(
+        F.lit("answer").alias("kind"), _answer_field().alias("field"), F.col("answer_id").alias("record_id"),
+        F.col("model").alias("made_by"), "question", "answer", F.col("answer").alias("text"),
+    )
+    reasonings = table(spark, sf_dir, "evaluation_results", "eval_id", "judge_model", "reasoning").dropDuplicates(["eval_id"])
+    nothing = F.lit(None).cast("string")
+    reasonings = reasonings.select(
+        F.lit("reasoning").alias("kind"), F.lit("evaluation_results.reasoning").alias("field"), F.col("eval_id").alias("record_id"),
+        F.col("judge_model").alias("made_by"), nothing.alias("question"), nothing.alias("answer"), F.col("reasoning").alias("text"),
+    )
+    records = answers.unionByName(reasonings)
+    cut = pairs.with_defect(truncation.truncated(records), "question", "answer")
+    return records, cut.where("defect IS NULL OR defect = 'truncated'")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_records(spark, sf_dir)[1].select("field", "record_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model of answers and each judge model of reasonings the share of its records that are cut."""
+    return truncation.truncation_rates(*_cut_records(spark, sf_dir), "made_by")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -66,7 +105,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p5_found, p5_rates, p6_ids, p7_containers, p7_fill)}
 
 
 P1_FOUND = """
