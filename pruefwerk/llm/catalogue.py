@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources import table
-from . import encode, neardup, pack, pairs, split, truncation
+from . import encode, neardup, pack, pairs, scan_noise, split, truncation
 
 
 def _limits(spark: SparkSession, sf_dir: str, field: str) -> tuple[int, int]:
@@ -66,13 +66,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(records, "question", "answer")
 
 
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and raw chunk as readable paragraphs, with the kinds of noise that were in it."""
+    pages = table(spark, sf_dir, "pages_raw", "page_id", "script_id", "page_number", "text")
+    raw = table(spark, sf_dir, "chunks", "chunk_uid", "script_id", "mode", "content").where("mode = 'raw'")
+    nowhere = F.lit(None).cast("int")
+    records = pages.select(F.lit("pages_raw.text").alias("field"), F.col("page_id").alias("record_id"), "script_id", "page_number", "text").unionByName(
+        raw.select(F.lit("chunks.raw.content").alias("field"), F.col("chunk_uid").alias("record_id"), "script_id", nowhere.alias("page_number"), F.col("content").alias("text"))
+    )
+    return scan_noise.repair(records, pages)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_text(spark, sf_dir).select("field", "record_id", F.explode("noise").alias("noise"))
+
+
 def _cut_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All answers and reasonings once, and those of them that are cut and have no other defect."""
+    """All answers and reasonings, and those of them that are cut and have no other defect; each id once."""
     answers = table(spark, sf_dir, "answers", "answer_id", "system", "model", "question", "answer").select(
         F.lit("answer").alias("kind"), _answer_field().alias("field"), F.col("answer_id").alias("record_id"),
         F.col("model").alias("made_by"), "question", "answer", F.col("answer").alias("text"),
     )
-    reasonings = table(spark, sf_dir, "evaluation_results", "eval_id", "judge_model", "reasoning").dropDuplicates(["eval_id"])
+    reasonings = table(spark, sf_dir, "evaluation_results", "eval_id", "judge_model", "reasoning")
     nothing = F.lit(None).cast("string")
     reasonings = reasonings.select(
         F.lit("reasoning").alias("kind"), F.lit("evaluation_results.reasoning").alias("field"), F.col("eval_id").alias("record_id"),
@@ -80,7 +95,8 @@ def _cut_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
     records = answers.unionByName(reasonings)
     cut = pairs.with_defect(truncation.truncated(records), "question", "answer")
-    return records, cut.where("defect IS NULL OR defect = 'truncated'")
+    once = ["kind", "field", "record_id", "made_by"]
+    return records.select(*once).distinct(), cut.where("defect IS NULL OR defect = 'truncated'").select(*once).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +121,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p5_found, p5_rates, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill)}
 
 
 P1_FOUND = """
