@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: A suffix is judged where so many ends would be expected if all suffixes ended texts equally often.
 EVIDENCE = 2.5
 #: It marks a cut if it ends less than this share of the expected number of texts. The share is larger for words, as a
@@ -29,27 +31,45 @@ SOUND_ENDS, SOUND_SHARE = 3, 0.1
 #: Words of at most so many letters stand for themselves.
 SHORT_WORD = 5
 
-_STRIPPED = r"regexp_replace(text, '(?U)[\\s\\u200b\\ufeff]*(?:(?:\\[|\\()?(?:\\.\\.\\.+|…)(?:\\]|\\))?)?[\\s\\u200b\\ufeff]*$', '')"
-_ITEMS = r"regexp_replace({0}, '(?m)^[ \\t]*(?:[-*•+]|[0-9]{{1,3}}[.)])[ \\t]+[^\\n]{{1,80}}$', '- ITEM')"
-_TOKENS = r"regexp_extract_all({0}, '[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|\\n+|[^\\s\\p{{L}}\\p{{M}}0-9]', 0)"
-_SHAPE = "CASE WHEN left({0}, 1) BETWEEN '0' AND '9' THEN '0' WHEN left({0}, 1) = '\n' THEN '/' WHEN lower(left({0}, 1)) = upper(left({0}, 1)) THEN {0} WHEN lower(left({0}, 1)) = left({0}, 1) THEN 'aa' ELSE 'Aa' END"
-_CLASS = f"CASE WHEN length(w) <= {SHORT_WORD} AND lower(left(w, 1)) <> upper(left(w, 1)) THEN w ELSE {_SHAPE.format('w')} END"
+#: So many last characters decide what the final trigram is: an item has at most 80, and three words come after it.
+TAIL = 400
+
+_BLANKS = r"' \t\n\r\f ​﻿'"
+_MARK = r"(?:\\[|\\()?(?:\\.\\.\\.+|…)(?:\\]|\\))?$"
+_UNMARKED = f"concat(left(text, length(text) - 12), regexp_replace(right(text, 12), '{_MARK}', ''))"
+#: Patterns and what stands for them; applied in this order.
+_CLASSES = [
+    (r"(?m)^[ \\t]*(?:[-*•+]|[0-9]{1,3}[.)])[ \\t]+[^\\n]{1,80}$", "- ITEM"),
+    (rf"\\p{{Lu}}[\\p{{L}}\\p{{M}}]{{{SHORT_WORD},}}", "Aa"),
+    (rf"\\p{{L}}[\\p{{L}}\\p{{M}}]{{{SHORT_WORD},}}", "aa"),
+    (r"[0-9]+(?:[.,][0-9]+)*", "0"),
+    (r"\\n+", "/"),
+]
+_SHAPE = "CASE WHEN lower(left(c, 1)) = upper(left(c, 1)) THEN c WHEN lower(left(c, 1)) = left(c, 1) THEN 'aa' ELSE 'Aa' END"
+
+
+def _classes(text: str) -> str:
+    for pattern, stands in _CLASSES:
+        text = f"regexp_replace({text}, '{pattern}', '{stands}')"
+    return f"concat(array('^', '^'), regexp_extract_all({text}, '[\\\\p{{L}}\\\\p{{M}}]+|[^\\\\s\\\\p{{L}}\\\\p{{M}}]', 0))"
 
 
-def word_classes(records: DataFrame) -> DataFrame:
-    """``records`` with ``classes``, the classes of the words of the text, after two marks of the beginning."""
-    stripped = records.withColumn("body", F.expr(_STRIPPED))
-    tokens = stripped.where(r"body rlike '[\\p{L}\\p{N}]'").withColumn("tokens", F.expr(_TOKENS.format(_ITEMS.format("body"))))
-    return tokens.withColumn("classes", F.expr(f"concat(array('^', '^'), transform(tokens, w -> {_CLASS}))")).drop("body", "tokens")
+def stripped(records: DataFrame) -> DataFrame:
+    """The records with letters or digits, ``text`` without the blanks and the mark of a cut at its end."""
+    return records.where(r"text rlike '[\\p{L}\\p{N}]'").withColumn("text", F.expr(f"rtrim({_BLANKS}, text)")).withColumn("text", F.expr(f"rtrim({_BLANKS}, {_UNMARKED})"))
 
 
-def final_classes(classed: DataFrame, *keys: str) -> DataFrame:
-    return classed.selectExpr(*(f"`{k}`" for k in keys), *(f"element_at(classes, {i}) AS {c}" for i, c in ((-3, "a"), (-2, "b"), (-1, "c"))))
+def final_classes(records: DataFrame) -> DataFrame:
+    """``records`` with the classes ``a, b, c`` of the last three words in place of the text."""
+    keys = [f"`{k}`" for k in records.columns if k != "text"]
+    last = records.selectExpr(*keys, f"{_classes(f'right(text, {TAIL})')} AS classes")
+    return last.selectExpr(*keys, *(f"element_at(classes, {i}) AS {c}" for i, c in ((-3, "a"), (-2, "b"), (-1, "c"))))
 
 
-def suffix_counts(classed: DataFrame) -> DataFrame:
+def suffix_counts(records: DataFrame) -> DataFrame:
     """``a, b, c, inside, at_end`` of every trigram of classes of all texts."""
-    ends = final_classes(classed).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("at_end"))
+    ends = final_classes(records.select("text")).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("at_end"))
+    classed = records.selectExpr(f"{_classes('text')} AS classes")
     n = "size(classes) - 3"
     inner = classed.where(f"{n} > 0").selectExpr(f"inline(arrays_zip(slice(classes, 1, {n}), slice(classes, 2, {n}), slice(classes, 3, {n})))")
     inside = inner.toDF("a", "b", "c").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("inside"))
@@ -60,7 +80,7 @@ def suffix_counts(classed: DataFrame) -> DataFrame:
 
 def cut_endings(counts: DataFrame) -> DataFrame:
     """The final trigrams ``a, b, c`` that mark a text as cut."""
-    shaped = counts.withColumn("shape", F.expr(_SHAPE.format("c")))
+    shaped = counts.withColumn("shape", F.expr(_SHAPE))
     judged = shaped.where("at_end > 0").select("a", "b", "c", "shape")
     end_rate = counts.agg(F.sum("at_end") / (F.sum("inside") + F.sum("at_end"))).scalar()
     judged = judged.withColumn("end_rate", end_rate)
@@ -78,8 +98,9 @@ def cut_endings(counts: DataFrame) -> DataFrame:
 def truncated(records: DataFrame) -> DataFrame:
     """The rows of ``records`` (``text`` and any keys) whose text stops inside a word or sentence."""
     keys = [c for c in records.columns if c != "text"]
-    classed = word_classes(records)
-    return final_classes(classed, *keys).join(cut_endings(suffix_counts(classed)), ["a", "b", "c"], "left_semi").select(*keys)
+    written = stripped(records)
+    cut = cut_endings(cut_lineage(suffix_counts(written)))
+    return final_classes(written).join(cut, ["a", "b", "c"], "left_semi").select(*keys)
 
 
 def truncation_rates(records: DataFrame, cut: DataFrame, source: str) -> DataFrame:
