@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources import table
-from . import encode, neardup, pack, pairs, scan_noise, split, truncation
+from . import encode, neardup, pack, pairs, residue, scan_noise, split, truncation
 
 
 def _limits(spark: SparkSession, sf_dir: str, field: str) -> tuple[int, int]:
@@ -83,20 +83,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cut_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All answers and reasonings, and those of them that are cut and have no other defect; each id once."""
-    answers = table(spark, sf_dir, "answers", "answer_id", "system", "model", "question", "answer").select(
-        F.lit("answer").alias("kind"), _answer_field().alias("field"), F.col("answer_id").alias("record_id"),
-        F.col("model").alias("made_by"), "question", "answer", F.col("answer").alias("text"),
-    )
+    answers = table(spark, sf_dir, "answers", "answer_id", "system", "model", "question", "answer")
     reasonings = table(spark, sf_dir, "evaluation_results", "eval_id", "judge_model", "reasoning")
-    nothing = F.lit(None).cast("string")
-    reasonings = reasonings.select(
-        F.lit("reasoning").alias("kind"), F.lit("evaluation_results.reasoning").alias("field"), F.col("eval_id").alias("record_id"),
-        F.col("judge_model").alias("made_by"), nothing.alias("question"), nothing.alias("answer"), F.col("reasoning").alias("text"),
-    )
-    records = answers.unionByName(reasonings)
-    cut = pairs.with_defect(truncation.truncated(records), "question", "answer")
+    records = answers.select(
+        F.lit("answer").alias("kind"), _answer_field().alias("field"), F.col("answer_id").alias("record_id"), F.col("model").alias("made_by"), F.col("answer").alias("text")
+    ).unionByName(reasonings.select(
+        F.lit("reasoning").alias("kind"), F.lit("evaluation_results.reasoning").alias("field"), F.col("eval_id").alias("record_id"), F.col("judge_model").alias("made_by"), F.col("reasoning").alias("text")
+    ))
     once = ["kind", "field", "record_id", "made_by"]
-    return records.select(*once).distinct(), cut.where("defect IS NULL OR defect = 'truncated'").select(*once).distinct()
+    cut = truncation.truncated(records).distinct()
+    # only cut answers are looked at for the other defects
+    asked = answers.select(F.lit("answer").alias("kind"), F.col("answer_id").alias("record_id"), "question", "answer")
+    judged = pairs.with_defect(cut.join(asked, ["kind", "record_id"], "left"), "question", "answer")
+    return records.select(*once).distinct(), judged.where("defect IS NULL OR defect = 'truncated'").select(*once)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +119,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packing_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_settings"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left for use."""
+    return table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars").join(p8_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.validation(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill, p8_found, p8_clean, p8_validation)}
 
 
 P1_FOUND = """

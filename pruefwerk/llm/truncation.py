@@ -32,7 +32,7 @@ SOUND_ENDS, SOUND_SHARE = 3, 0.1
 SHORT_WORD = 5
 
 #: So many last characters decide what the final trigram is: an item has at most 80, and three words come after it.
-TAIL = 400
+TAIL = 200
 
 _BLANKS = r"' \t\n\r\f ​﻿'"
 _MARK = r"(?:\\[|\\()?(?:\\.\\.\\.+|…)(?:\\]|\\))?$"
@@ -66,9 +66,9 @@ def final_classes(records: DataFrame) -> DataFrame:
     return last.selectExpr(*keys, *(f"element_at(classes, {i}) AS {c}" for i, c in ((-3, "a"), (-2, "b"), (-1, "c"))))
 
 
-def suffix_counts(records: DataFrame) -> DataFrame:
-    """``a, b, c, inside, at_end`` of every trigram of classes of all texts."""
-    ends = final_classes(records.select("text")).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("at_end"))
+def suffix_counts(records: DataFrame, finals: DataFrame) -> DataFrame:
+    """``a, b, c, inside, at_end`` of every trigram of classes of all texts; ``finals`` are their final ones."""
+    ends = finals.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("at_end"))
     classed = records.selectExpr(f"{_classes('text')} AS classes")
     n = "size(classes) - 3"
     inner = classed.where(f"{n} > 0").selectExpr(f"inline(arrays_zip(slice(classes, 1, {n}), slice(classes, 2, {n}), slice(classes, 3, {n})))")
@@ -99,8 +99,9 @@ def truncated(records: DataFrame) -> DataFrame:
     """The rows of ``records`` (``text`` and any keys) whose text stops inside a word or sentence."""
     keys = [c for c in records.columns if c != "text"]
     written = stripped(records)
-    cut = cut_endings(cut_lineage(suffix_counts(written)))
-    return final_classes(written).join(cut, ["a", "b", "c"], "left_semi").select(*keys)
+    finals = cut_lineage(final_classes(written))
+    cut = cut_endings(cut_lineage(suffix_counts(written, finals)))
+    return finals.join(cut, ["a", "b", "c"], "left_semi").select(*keys)
 
 
 def truncation_rates(records: DataFrame, cut: DataFrame, source: str) -> DataFrame:
