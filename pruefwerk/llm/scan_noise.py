@@ -46,13 +46,16 @@ _LOOKS = str.maketrans({
     "h": "ll", "ü": "ll", "n": "rl", "m": "rrl", "k": "le", "d": "el", "w": "uu",
 })
 _WORD = re.compile(r"[^\W_]+")
-_LETTER_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
+_LETTER_SPACED = re.compile(r"\b[^\W\d_](?: [^\W\d_]){3,}\b")
+#: Code and formulas are left as they are.
+_UNREAD = re.compile(r"(```.*?(?:```|\Z)|\$[^$\n]*\$|^[^\n]*\b0x[0-9A-F]{2}, [^\n]*$)", re.S | re.M)
 _DIGIT_INSIDE = re.compile(r"[^\W\d_]{2}[01568]+[^\W\d_]{2}|^[01568][^\W\d_]{4,}$|^[^\W\d_]{5,}[01]$")
 _NUMBER = r"(?:(?:seite|blatt|page|s\.|p\.|bl\.)\s*)?\d{1,5}(?:\s*(?:/|von|of)\s*\d{1,5})?"
 _NUMBER_LINE = re.compile(rf"^\s*([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)\s*$", re.I)
 _NUMBER_BESIDE = re.compile(rf"^\s*([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)(?:\s{{2,}}|\t|\s*\|\s*)(\S.*?)\s*$|^\s*(\S.*?)(?:\s{{2,}}|\t|\s*\|\s*)([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)\s*$", re.I)
 _NUMBERED_TITLE = re.compile(r"^\s*([^\W\d_]{3,20})\s+(?:\d{1,3}|[IVXL]{1,6})\s*[:.–-]\s*\S")
 _TAIL = re.compile(r"([^\W\d_]+)([-‐­¬])\s*$")
+_MARKS = ("-", "‐", "\u00ad", "¬")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
 _KEPT_LINE = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\||#{1,6}\s|```|\d+(?:\.\d+)+\s)")
 #: Words after a hyphen that stands for the rest of another word.
@@ -259,7 +262,7 @@ def paragraphs(lines: list[str], words: Vocabulary) -> tuple[str, bool]:
             if out and out[-1]:
                 out.append("")
             continue
-        tail = _TAIL.search(out[-1]) if out else None
+        tail = _TAIL.search(out[-1], max(0, len(out[-1]) - 80)) if out and out[-1][-1:] in _MARKS else None
         head = _HEAD.match(text) if tail else None
         if tail and head and not broken:
             if divides(tail.group(1), tail.group(2), head.group(1), words):
@@ -267,7 +270,7 @@ def paragraphs(lines: list[str], words: Vocabulary) -> tuple[str, bool]:
                 out[-1] = out[-1][: tail.start(2)] + text.lstrip()
             else:
                 out[-1] = out[-1] + ("" if not head.group(1)[0].islower() else " ") + text.lstrip()
-        elif not out or broken or not out[-1] or _KEPT_LINE.match(text) or _KEPT_LINE.match(out[-1]) or re.search(r"\S {2,}\S", text):
+        elif not out or broken or not out[-1] or _KEPT_LINE.match(text) or _KEPT_LINE.match(out[-1]) or "  " in text.strip():
             # a paragraph goes on behind furniture that was taken out of it
             if len(out) > 1 and not out[-1] and not broken and out[-2] and text.lstrip()[0].islower() and out[-2][-1] not in ".!?:`|":
                 out.pop()
@@ -309,9 +312,14 @@ def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
         found = True
         return reading.upper() if len(word) > 1 and word.isupper() else reading[0].upper() + reading[1:] if word[0].isupper() or word[0].isdigit() and match.start() == 0 else reading
 
-    parts = re.split(r"(```.*?(?:```|\Z)|\$[^$\n]*\$|^.*\b0x[0-9A-F]{2}\b, .*$)", text, flags=re.S | re.M)
+    parts = _UNREAD.split(text)
     for i in range(0, len(parts), 2):
-        parts[i] = _WORD.sub(put_right, _LETTER_SPACED.sub(joined, parts[i]))
+        part = _LETTER_SPACED.sub(joined, parts[i])
+        # most parts have only known words; only those that don't are gone through word by word
+        unknown = set(_WORD.findall(part.lower())) - words.known
+        if any(len(word) > 2 and not word.isdigit() for word in unknown):
+            part = _WORD.sub(put_right, part)
+        parts[i] = part
     return "".join(parts), found
 
 
