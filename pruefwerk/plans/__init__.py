@@ -1,0 +1,4 @@
+from .catalogue import QUERIES
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
