@@ -4,7 +4,8 @@ Method: a regularized linear classifier over hashed word n-grams, length and tit
 (sentences and lines), trained on weak labels from response statuses and phrases. What a weak label says of a short
 record isn't believed inside a text of other parts: there, such a part explains or quotes. The classifier is fitted on
 at most ``TRAIN_DOCUMENTS`` documents and ``TRAIN_PARTS`` parts of each kind, from most hosts; the hosts left out
-validate it. Every part of every document is scored.
+validate it. Every part of every document is scored; parts of a few words again and again, or of neighbouring keys, are
+``filler`` by their shape.
 
 A document is a ``placeholder`` if any part is one; it is ``filler``, ``error_page`` or ``script_notice`` if parts of
 these kinds hold at least half of its words.
@@ -33,7 +34,9 @@ from ..session import cut_lineage
 
 KINDS = ["content", "placeholder", "filler", "error_page", "script_notice"]
 #: Bounds of what the classifier is fitted on; of the parts of content four times as many.
-TRAIN_DOCUMENTS, TRAIN_PARTS = 20_000, 3_000
+TRAIN_DOCUMENTS, TRAIN_PARTS = 6_000, 3_000
+#: Of the parts of content one in so many is learned from.
+CONTENT_ONE_IN = 3
 #: A host in so many is left out of the training.
 HELD_OUT = 4
 BUCKETS = 1 << 14
@@ -46,8 +49,11 @@ _FIELD = re.compile(
     r"|@@\w{2,40}@@|#[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}#|%[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}%|__[A-ZÄÖÜ][A-ZÄÖÜ_]{1,40}__|«\w{2,40}»|<insert [^>\n]{1,60}>|<[A-ZÄÖÜ][A-ZÄÖÜ_ ]{2,50}>|\bX{4,}\b"
     r"|\[[^\[\]\n]{1,50}?(?:\.\.\.|…|ergänzen|eintragen|einfügen|einsetzen|angeben|folgt|here|TODO)\]"
 )
+_FIELD_SIGN = re.compile(r"[{<\[@«]|[%#][A-ZÄÖÜ]|__|XXXX")
 _PARTS = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"[^\W_]{30,}|[^\W\d_]+|\d+|§|[<>|=_~*#]{2,}|[-.]{4,}")
+_LONG = re.compile(r"[^\W_]{30,}")
+_AWAY = re.compile(r"[nmiou]", re.I)
+_WORD = re.compile(r"\n|[^\W\d_]+|\d+|§|[<>|=_~*#]{2,}|[-.]{4,}")
 _HOME_ROW = frozenset("qwertzasdfghjklöäyxcvb")
 #: Phrases that give weak labels.
 _WEAK = {
@@ -68,61 +74,77 @@ _PROSE, _CONTENT = 6, 10
 def parts_of(text: str) -> list[str]:
     """The sentences and lines of a text, fields of a template marked."""
     plain = _CODE.sub(" ¤ ", text) if "`" in text or "$" in text or '"' in text or "printf" in text else text
-    return [part for part in _PARTS.split(_FIELD.sub(" § ", plain)) if part.strip()]
+    if _FIELD_SIGN.search(plain):
+        plain = _FIELD.sub(" § ", plain)
+    return [part for part in _PARTS.split(plain) if part.strip()]
 
 
-def _bucket(feature: str) -> int:
-    return crc32(feature.encode()) % BUCKETS
+class _Hashes(dict):
+    """Hashes of the words seen, numbers alike; emptied at ``most``. A line break, between two parts, is 0."""
 
-
-class _Buckets(dict):
-    """Buckets of features seen; emptied at ``most``."""
-
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, feature: str) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[feature] = _bucket(feature)
+        value = self[word] = 0 if word == "\n" else crc32(("0" if word.isdigit() else word).encode()) + 1
         return value
 
 
-def _strong(name: str) -> list[str]:
-    """A feature as several, so that the penalty weighs less on it."""
-    return [f"§{name}{i}" for i in range(5)]
-
-
-def shape_features(words: list[str], part: str) -> list[str]:
-    """What a part looks like, whatever its words are."""
-    out = [f"§n{min(len(words), 20) // 3}"]
-    distinct = len(set(words))
-    if len(words) >= 4 and distinct <= len(words) / 3:
-        out += _strong("repeats")
-    letters = [w for w in words if w.isalpha()]
-    joined = "".join(letters)
-    if len(joined) >= 8 and set(joined) <= _HOME_ROW and not any(w in ("der", "das", "er", "es", "des") for w in letters):
-        out += _strong("keys")
-    if not letters:
-        out.append("§signs")
-    if len(joined) >= 5 and len(set(joined)) <= 2:
-        out += _strong("one")
+_SHAPES = {name: [crc32(f"§{name}{i}".encode()) % BUCKETS for i in range(12)] for name in ("repeats", "keys", "one", "field")}
+_LENGTHS = [crc32(f"§n{i}".encode()) % BUCKETS for i in range(8)]
+_SIGNS, _LOWER = (crc32(name) % BUCKETS for name in (b"signs", b"lower"))
+
+
+def shape_of(part: str) -> list[int]:
+    """Buckets for what a part looks like, whatever its words are; a strong feature has several."""
+    words = part.split()
+    out = [_LENGTHS[min(len(words), 21) // 3]]
+    if len(words) >= 4 and len(set(words)) <= len(words) / 3:
+        out += _SHAPES["repeats"]
+    if "§" in part:
+        out += _SHAPES["field"]
     if part[:1].islower():
-        out.append("§lower")
+        out.append(_LOWER)
+    if not _AWAY.search(part):
+        letters = "".join(filter(str.isalpha, part.lower()))
+        signs = set(letters)
+        if not letters:
+            out.append(_SIGNS)
+        elif len(letters) >= 8 and signs <= _HOME_ROW and not {"der", "das", "er", "es", "des"} & set(part.lower().split()):
+            out += _SHAPES["keys"]
+        if len(letters) >= 5 and len(signs) <= 2:
+            out += _SHAPES["one"]
+    elif len(set(part.lower()) - set(" ,.;:!-\t")) <= 2:
+        out += _SHAPES["one"]
     return out
 
 
-def features(part: str, first: bool, buckets: _Buckets) -> tuple[list[int], int]:
-    """Buckets of the n-grams, length and title features of a part, and its number of words."""
-    words = _WORD.findall(part.lower())
-    words = ["0" if w.isdigit() else "§long" if len(w) >= 30 else w for w in words]
-    names = words + [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"])] + shape_features(words, part)
-    if first:
-        names += [f"title {w}" for w in words[:6]]
-    if "§" in words:
-        names += _strong("field")
-    return [buckets[name] for name in names], max(1, len(words))
+def only_fills(text: str) -> bool:
+    """Whether a text is a few words again and again, or keys of neighbouring rows."""
+    words = text.lower().split()
+    if len(words) >= 6 and len({w for w in words if w[0].isalpha()}) <= min(3, len(words) // 4) and sum(w[0].isalpha() for w in words) >= len(words) / 2:
+        return True
+    return not _AWAY.search(text) and _SHAPES["keys"][0] in shape_of(text)
+
+
+def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams, length, shape and title features of parts, the part of each, and the parts' words."""
+    words = _WORD.findall(_LONG.sub("§long", "\n" + "\n".join(parts).lower() + "\n"))
+    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    breaks = hashed == 0
+    part = np.cumsum(breaks) - 1
+    single = ~breaks
+    pairs = ((hashed[:-1] * np.uint64(0x9E3779B1) + hashed[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(BUCKETS)
+    pair_part = np.where(breaks[1:], part[:-1], part[1:])
+    title = hashed[1:7][(part[1:7] == 0) & single[1:7]]
+    titles = ((title * np.uint64(0xC2B2AE35)) >> np.uint64(9)) % np.uint64(BUCKETS)
+    shapes = [shape_of(p) for p in parts]
+    ids = np.concatenate([hashed[single] % np.uint64(BUCKETS), pairs, titles, np.array([i for x in shapes for i in x], np.uint64)]).astype(np.int64)
+    of = np.concatenate([part[single], pair_part, np.zeros(len(titles), np.int64), np.repeat(np.arange(len(parts)), [len(x) for x in shapes])])
+    return ids, of, np.maximum(np.bincount(part[single], minlength=len(parts)), 1)
 
 
 def weak_kinds(parts: list[str]) -> list[str | None]:
@@ -131,8 +153,8 @@ def weak_kinds(parts: list[str]) -> list[str | None]:
     for part in parts:
         kind = "placeholder" if "§" in part else next((k for k, pattern in _WEAK.items() if pattern.search(part)), None)
         if kind is None:
-            shapes = shape_features(_WORD.findall(part.lower()), part)
-            if not {"§repeats0", "§keys0", "§one0"}.isdisjoint(shapes):
+            shapes = shape_of(part)
+            if any(_SHAPES[name][0] in shapes for name in ("repeats", "keys", "one")):
                 kind = "filler"
         found.append(kind)
     sizes = [len(p.split()) for p in parts]
@@ -140,7 +162,7 @@ def weak_kinds(parts: list[str]) -> list[str | None]:
     residue = sum(n for n, kind in zip(sizes, found) if kind not in (None, "placeholder"))
     if not residue or prose >= max(residue, _CONTENT):
         # real content surrounds the phrase: it explains or quotes
-        return [kind if kind == "placeholder" else "content" if kind or n >= _PROSE else None for kind, n in zip(found, sizes)]
+        return [kind if kind == "placeholder" else "content" if kind or n >= _PROSE or "¤" in part else None for kind, n, part in zip(found, sizes, parts)]
     main = max(set(found) - {None, "placeholder"}, key=lambda k: (sum(n for n, x in zip(sizes, found) if x == k), k))
     return [kind if kind else main if n < 2 * _PROSE else None for kind, n in zip(found, sizes)]
 
@@ -149,20 +171,25 @@ def training_parts(documents: DataFrame) -> DataFrame:
     """``label, ids`` of a bounded number of weakly labelled parts."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
+        hashes = _Hashes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = parts_of(text)
-                for at, (part, kind) in enumerate(zip(parts, weak_kinds(parts))):
-                    if kind is not None:
-                        rows.append((float(KINDS.index(kind)), crc32(f"{doc} {at}".encode()), [str(i) for i in features(part, at == 0, buckets)[0]]))
+                kinds = weak_kinds(parts)
+                order = [crc32(f"{doc} {at}".encode()) for at in range(len(parts))]
+                taken = [at for at, kind in enumerate(kinds) if kind is not None and (kind != "content" or order[at] % CONTENT_ONE_IN == 0)]
+                if taken:
+                    ids, of, _ = features(parts, hashes)
+                    rows += [(float(KINDS.index(kinds[at])), order[at] // CONTENT_ONE_IN, list(map(str, ids[of == at]))) for at in taken]
             columns = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.list_(pa.string())))], ["label", "at", "ids"])
 
     labelled = documents.select("doc_id", "text").mapInArrow(label, "label double, at bigint, ids array<string>")
-    numbered = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("at")))
-    return numbered.where(F.col("n") <= F.when(F.col("label") == 0, 4 * TRAIN_PARTS).otherwise(TRAIN_PARTS)).select("label", "ids")
+    # four shares of content, each limited before the shuffle
+    share = F.when(F.col("label") == 0, F.pmod(F.col("at"), F.lit(4))).otherwise(0)
+    numbered = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label", share).orderBy("at")))
+    return numbered.where(F.col("n") <= TRAIN_PARTS).select("label", "ids")
 
 
 def fitted(documents: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -174,34 +201,33 @@ def fitted(documents: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     parts = cut_lineage(training_parts(bounded).repartition(8))
     if parts.select("label").distinct().count() < 2:
         return None
-    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "ids", "features").setBinary(True).transform(parts)
+    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "ids", "features").transform(parts)
     model = LogisticRegression(family="multinomial", regParam=2e-5, maxIter=50, standardization=False).fit(counted)
     weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     full_weights, full_intercepts = np.zeros((len(KINDS), BUCKETS)), np.full(len(KINDS), -1e9)
     full_weights[: len(weights)], full_intercepts[: len(intercepts)] = weights, intercepts
-    return full_weights, full_intercepts
+    return np.ascontiguousarray(full_weights.T), full_intercepts
 
 
 def held_out():
     return F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(HELD_OUT)) == 0
 
 
-def kind_of(text: str, weights: np.ndarray, intercepts: np.ndarray, buckets: _Buckets) -> str | None:
-    """The kind of residue that a text is."""
+def kind_of(text: str, weights: np.ndarray, intercepts: np.ndarray, hashes: _Hashes) -> str | None:
+    """The kind of residue that a text is; ``weights`` has a row for each bucket."""
     parts = parts_of(text)
     if not parts:
         return None
-    rows = [features(part, at == 0, buckets) for at, part in enumerate(parts)]
-    ids = [np.unique(r[0]) for r in rows]
-    at = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    scores = np.zeros((len(ids), len(KINDS)))
-    flat = weights[:, np.concatenate(ids)]
-    for k in range(len(KINDS)):
-        scores[:, k] = np.bincount(at, flat[k], len(ids)) + intercepts[k]
-    best = scores.argmax(axis=1)
+    ids, of, sizes = features(parts, hashes)
+    worth = weights[ids]
+    scores = np.stack([np.bincount(of, worth[:, k], len(parts)) for k in range(len(KINDS))]) + intercepts[:, None]
+    best = scores.argmax(axis=0)
+    # n-grams can't tell strings that were never seen before; their shape can
+    best[[at for at, part in enumerate(parts) if best[at] == 0 and only_fills(part)]] = KINDS.index("filler")
+    if only_fills(text):
+        return "filler"
     if (best == 1).any():
         return "placeholder"
-    sizes = np.array([n for _, n in rows])
     by_kind = np.bincount(best, sizes, len(KINDS))
     if by_kind[2:].sum() < RESIDUE_SHARE * sizes.sum():
         return None
@@ -223,11 +249,10 @@ def scored(documents: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercepts = shared.value
-        buckets = _Buckets()
+        weights, intercepts, hashes = *shared.value, _Hashes()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            kinds = [kind_of(text, weights, intercepts, buckets) for text in texts]
+            kinds = [kind_of(text, weights, intercepts, hashes) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], ["doc_id", "source", "kind"])
 
     return filled.mapInArrow(score, schema)
