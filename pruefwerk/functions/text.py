@@ -99,4 +99,4 @@ def token_estimate(n_chars: Column, max_tokens: int) -> Column:
 def retry_after(message: Column) -> Column:
     """Seconds to wait by a hint in an error message, at most a minute."""
     hint = F.nullif(F.regexp_extract(message, r"(?i)try again in ([\d.]+)s", 1), F.lit(""))
-    return F.least(hint.try_cast("double") + 0.1, F.lit(60.0))
+    return F.when(hint.try_cast("double").isNotNull(), F.least(hint.try_cast("double") + 0.1, F.lit(60.0)))
