@@ -23,7 +23,7 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     level = F.grouping_id().cast("int")
     return calls.rollup("kind", "model", "status").agg(
         level.alias("level"), F.count(F.lit(1)).alias("n_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum("total_tokens").alias("total_tokens"), F.avg("latency_s").alias("mean_latency"), F.percentile("latency_s", 0.95).alias("p95_latency"),
+        F.sum("total_tokens").alias("total_tokens"), F.round(F.sum("latency_s"), 3).alias("sum_latency"), F.percentile("latency_s", 0.95).alias("p95_latency"),
     )
 
 

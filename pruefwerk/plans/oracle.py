@@ -182,7 +182,7 @@ SELECT test, round(p, 6) AS p, round(least(1.0, p * m), 6) AS bonferroni, round(
     "quota_balanced": """SELECT golden_id, question_type, row_number() OVER (PARTITION BY question_type ORDER BY md5('42|' || golden_id), golden_id)::INT AS draw FROM golden
 WHERE requires_context AND question_type IN ('Definition', 'Anwendung', 'Transfer') QUALIFY draw <= CASE question_type WHEN 'Transfer' THEN 16 ELSE 17 END""",
     "usage_rollup": f"""WITH {CALLS} SELECT kind, model, status, grouping_id(kind, model, status)::INT AS level, count(*) AS n_calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
-sum(total_tokens)::BIGINT AS total_tokens, round(avg(latency_s), 6) AS mean_latency, round(quantile_cont(latency_s, 0.95), 6) AS p95_latency FROM calls GROUP BY ROLLUP (kind, model, status)""",
+sum(total_tokens)::BIGINT AS total_tokens, round(sum(latency_s), 3) AS sum_latency, round(quantile_cont(latency_s, 0.95), 6) AS p95_latency FROM calls GROUP BY ROLLUP (kind, model, status)""",
     "sliding_token_usage": f"""WITH {CALLS}, t AS (SELECT call_id, coalesce(model, '') AS model, coalesce(total_tokens, 0) AS tokens, epoch_us(ts) AS us FROM calls)
 SELECT call_id, model, (sum(tokens) OVER (PARTITION BY model ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW))::BIGINT AS window_tokens FROM t""",
     "call_log_windows": f"WITH {CALLS} SELECT date_trunc('hour', ts) AS hour, kind, count(*) AS n_calls, coalesce(sum(total_tokens), 0)::BIGINT AS tokens FROM calls GROUP BY 1, 2",
