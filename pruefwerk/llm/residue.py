@@ -43,7 +43,11 @@ BUCKETS = 1 << 14
 #: Share of a document's words in residue from which on it is residue.
 RESIDUE_SHARE = 0.5
 
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$?[^$\n]{1,160}\$\$?|\b[fr]\"[^\"\n]{0,120}\"|\bprintf\([^)\n]*\)", re.S)
+#: Formulas and code; each pattern with what it begins with, as a text without that needn't be searched.
+_CODE = [
+    ("```", re.compile(r"```.*?(?:```|\Z)", re.S)), ("`", re.compile(r"`[^`\n]*`")), ("$", re.compile(r"\$\$?[^$\n]{1,160}\$\$?")),
+    ('f"', re.compile(r'f"[^"\n]{0,120}"')), ("printf(", re.compile(r"printf\([^)\n]*\)")),
+]
 _FIELD = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|\$\{\w[\w.]{0,40}\}|\{[^\W\d]\w{1,40}\}|\[\[[^\[\]\n]{1,60}\]\]"
     r"|@@\w{2,40}@@|#[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}#|%[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}%|__[A-ZÄÖÜ][A-ZÄÖÜ_]{1,40}__|«\w{2,40}»|<insert [^>\n]{1,60}>|<[A-ZÄÖÜ][A-ZÄÖÜ_ ]{2,50}>|\bX{4,}\b"
@@ -73,7 +77,10 @@ _PROSE, _CONTENT = 6, 10
 
 def parts_of(text: str) -> list[str]:
     """The sentences and lines of a text, fields of a template marked."""
-    plain = _CODE.sub(" ¤ ", text) if "`" in text or "$" in text or '"' in text or "printf" in text else text
+    plain = text
+    for begin, pattern in _CODE:
+        if begin in plain:
+            plain = pattern.sub(" ¤ ", plain)
     if _FIELD_SIGN.search(plain):
         plain = _FIELD.sub(" § ", plain)
     return [part for part in _PARTS.split(plain) if part.strip()]
@@ -94,6 +101,7 @@ class _Hashes(dict):
 
 
 _SHAPES = {name: [crc32(f"§{name}{i}".encode()) % BUCKETS for i in range(12)] for name in ("repeats", "keys", "one", "field")}
+_BETWEEN = frozenset(" ,.;:!-\t")
 _LENGTHS = [crc32(f"§n{i}".encode()) % BUCKETS for i in range(8)]
 _SIGNS, _LOWER = (crc32(name) % BUCKETS for name in (b"signs", b"lower"))
 
@@ -117,7 +125,7 @@ def shape_of(part: str) -> list[int]:
             out += _SHAPES["keys"]
         if len(letters) >= 5 and len(signs) <= 2:
             out += _SHAPES["one"]
-    elif len(set(part.lower()) - set(" ,.;:!-\t")) <= 2:
+    elif len(set(part[:16].lower()) - _BETWEEN) <= 2 and len(part) >= 5 and len(set(part.lower()) - _BETWEEN) <= 2:
         out += _SHAPES["one"]
     return out
 
@@ -125,14 +133,17 @@ def shape_of(part: str) -> list[int]:
 def only_fills(text: str) -> bool:
     """Whether a text is a few words again and again, or keys of neighbouring rows."""
     words = text.lower().split()
-    if len(words) >= 6 and len({w for w in words if w[0].isalpha()}) <= min(3, len(words) // 4) and sum(w[0].isalpha() for w in words) >= len(words) / 2:
+    if len(words) >= 6 and 4 * len(set(words)) <= 2 * len(words) and len({w for w in words if w[0].isalpha()}) <= min(3, len(words) // 4) and sum(w[0].isalpha() for w in words) >= len(words) / 2:
         return True
     return not _AWAY.search(text) and _SHAPES["keys"][0] in shape_of(text)
 
 
-def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the n-grams, length, shape and title features of parts, the part of each, and the parts' words."""
-    words = _WORD.findall(_LONG.sub("§long", "\n" + "\n".join(parts).lower() + "\n"))
+def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Buckets of the n-grams, length, shape and title features of parts, the part of each, the parts' words, and odd parts."""
+    joined = "\n" + "\n".join(parts).lower() + "\n"
+    if max(map(len, joined.split()), default=0) >= 30:
+        joined = _LONG.sub("§long", joined)
+    words = _WORD.findall(joined)
     hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     breaks = hashed == 0
     part = np.cumsum(breaks) - 1
@@ -144,7 +155,8 @@ def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray,
     shapes = [shape_of(p) for p in parts]
     ids = np.concatenate([hashed[single] % np.uint64(BUCKETS), pairs, titles, np.array([i for x in shapes for i in x], np.uint64)]).astype(np.int64)
     of = np.concatenate([part[single], pair_part, np.zeros(len(titles), np.int64), np.repeat(np.arange(len(parts)), [len(x) for x in shapes])])
-    return ids, of, np.maximum(np.bincount(part[single], minlength=len(parts)), 1)
+    odd = [at for at, x in enumerate(shapes) if len(x) > 12]  # with a strong feature
+    return ids, of, np.maximum(np.bincount(part[single], minlength=len(parts)), 1), odd
 
 
 def weak_kinds(parts: list[str]) -> list[str | None]:
@@ -180,7 +192,7 @@ def training_parts(documents: DataFrame) -> DataFrame:
                 order = [crc32(f"{doc} {at}".encode()) for at in range(len(parts))]
                 taken = [at for at, kind in enumerate(kinds) if kind is not None and (kind != "content" or order[at] % CONTENT_ONE_IN == 0)]
                 if taken:
-                    ids, of, _ = features(parts, hashes)
+                    ids, of, _, _ = features(parts, hashes)
                     rows += [(float(KINDS.index(kinds[at])), order[at] // CONTENT_ONE_IN, list(map(str, ids[of == at]))) for at in taken]
             columns = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.list_(pa.string())))], ["label", "at", "ids"])
@@ -218,12 +230,12 @@ def kind_of(text: str, weights: np.ndarray, intercepts: np.ndarray, hashes: _Has
     parts = parts_of(text)
     if not parts:
         return None
-    ids, of, sizes = features(parts, hashes)
+    ids, of, sizes, odd = features(parts, hashes)
     worth = weights[ids]
     scores = np.stack([np.bincount(of, worth[:, k], len(parts)) for k in range(len(KINDS))]) + intercepts[:, None]
     best = scores.argmax(axis=0)
     # n-grams can't tell strings that were never seen before; their shape can
-    best[[at for at, part in enumerate(parts) if best[at] == 0 and only_fills(part)]] = KINDS.index("filler")
+    best[[at for at in odd if best[at] == 0 and only_fills(parts[at])]] = KINDS.index("filler")
     if only_fills(text):
         return "filler"
     if (best == 1).any():

@@ -24,7 +24,7 @@ def test_weak_kinds_believe_the_context():
 
 def test_long_and_odd_parts_have_features():
     for part in ("x", "-----", "😀", "wort " * 5000, "a1b2" * 3000):
-        ids, of, n = features([part, "Rest"], _Hashes())
+        ids, of, n, _ = features([part, "Rest"], _Hashes())
         assert len(ids) == len(of) and set(of) == {0, 1} and len(n) == 2 and n.min() >= 1
 
 
