@@ -37,6 +37,8 @@ KINDS = ["content", "placeholder", "filler", "error_page", "script_notice"]
 TRAIN_DOCUMENTS, TRAIN_PARTS = 6_000, 3_000
 #: Of the parts of content one in so many is learned from.
 CONTENT_ONE_IN = 3
+#: Of long texts, whose parts are alike, one in so many is learned from.
+LONG_TEXT, LONG_ONE_IN = 3_000, 6
 #: A host in so many is left out of the training.
 HELD_OUT = 4
 BUCKETS = 1 << 14
@@ -59,6 +61,7 @@ _LONG = re.compile(r"[^\W_]{30,}")
 _AWAY = re.compile(r"[nmiou]", re.I)
 _WORD = re.compile(r"\n|[^\W\d_]+|\d+|§|[<>|=_~*#]{2,}|[-.]{4,}")
 _HOME_ROW = frozenset("qwertzasdfghjklöäyxcvb")
+_SCRIPT = re.compile(r"script|skript|\bjs\b|inhalte|active content", re.I)
 #: Phrases that give weak labels.
 _WEAK = {
     "script_notice": re.compile(
@@ -102,20 +105,14 @@ class _Hashes(dict):
 
 _SHAPES = {name: [crc32(f"§{name}{i}".encode()) % BUCKETS for i in range(12)] for name in ("repeats", "keys", "one", "field")}
 _BETWEEN = frozenset(" ,.;:!-\t")
-_LENGTHS = [crc32(f"§n{i}".encode()) % BUCKETS for i in range(8)]
+_LENGTHS = np.array([crc32(f"§n{i}".encode()) % BUCKETS for i in range(8)], np.uint64)
+_FIELD_HASH = np.uint64(crc32("§".encode()) + 1)
 _SIGNS, _LOWER = (crc32(name) % BUCKETS for name in (b"signs", b"lower"))
 
 
 def shape_of(part: str) -> list[int]:
-    """Buckets for what a part looks like, whatever its words are; a strong feature has several."""
-    words = part.split()
-    out = [_LENGTHS[min(len(words), 21) // 3]]
-    if len(words) >= 4 and len(set(words)) <= len(words) / 3:
-        out += _SHAPES["repeats"]
-    if "§" in part:
-        out += _SHAPES["field"]
-    if part[:1].islower():
-        out.append(_LOWER)
+    """Buckets for the characters of a part, whatever its words are; a strong feature has several."""
+    out = [_LOWER] if part[:1].islower() else []
     if not _AWAY.search(part):
         letters = "".join(filter(str.isalpha, part.lower()))
         signs = set(letters)
@@ -152,21 +149,29 @@ def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray,
     pair_part = np.where(breaks[1:], part[:-1], part[1:])
     title = hashed[1:7][(part[1:7] == 0) & single[1:7]]
     titles = ((title * np.uint64(0xC2B2AE35)) >> np.uint64(9)) % np.uint64(BUCKETS)
+    of_words, own = part[single], hashed[single]
+    n_words = np.bincount(of_words, minlength=len(parts))
+    distinct = np.bincount(np.unique((of_words.astype(np.uint64) << np.uint64(33)) + own) >> np.uint64(33), minlength=len(parts))
     shapes = [shape_of(p) for p in parts]
-    ids = np.concatenate([hashed[single] % np.uint64(BUCKETS), pairs, titles, np.array([i for x in shapes for i in x], np.uint64)]).astype(np.int64)
-    of = np.concatenate([part[single], pair_part, np.zeros(len(titles), np.int64), np.repeat(np.arange(len(parts)), [len(x) for x in shapes])])
-    odd = [at for at, x in enumerate(shapes) if len(x) > 12]  # with a strong feature
-    return ids, of, np.maximum(np.bincount(part[single], minlength=len(parts)), 1), odd
+    for at in np.unique(of_words[own == _FIELD_HASH]):
+        shapes[at] += _SHAPES["field"]
+    for at in np.flatnonzero((n_words >= 4) & (3 * distinct <= n_words)):
+        shapes[at] += _SHAPES["repeats"]
+    ids = np.concatenate([own % np.uint64(BUCKETS), pairs, titles, _LENGTHS[np.minimum(n_words, 21) // 3], np.array([i for x in shapes for i in x], np.uint64)]).astype(np.int64)
+    every = np.arange(len(parts))
+    of = np.concatenate([of_words, pair_part, np.zeros(len(titles), np.int64), every, np.repeat(every, [len(x) for x in shapes])])
+    odd = [at for at, x in enumerate(shapes) if len(x) > 10]  # with a strong feature
+    return ids, of, np.maximum(n_words, 1), odd
 
 
 def weak_kinds(parts: list[str]) -> list[str | None]:
     """Weak labels of the parts of a text; null where there is no opinion."""
     found = []
     for part in parts:
-        kind = "placeholder" if "§" in part else next((k for k, pattern in _WEAK.items() if pattern.search(part)), None)
+        kind = "placeholder" if "§" in part else next((k for k, pattern in _WEAK.items() if k != "script_notice" and pattern.search(part) or k == "script_notice" and _SCRIPT.search(part) and pattern.search(part)), None)
         if kind is None:
-            shapes = shape_of(part)
-            if any(_SHAPES[name][0] in shapes for name in ("repeats", "keys", "one")):
+            words = part.lower().split()
+            if len(words) >= 4 and 3 * len(set(words)) <= len(words) or len(shape_of(part)) > 10:
                 kind = "filler"
         found.append(kind)
     sizes = [len(p.split()) for p in parts]
@@ -187,6 +192,8 @@ def training_parts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(text) > LONG_TEXT and crc32(str(doc).encode()) % LONG_ONE_IN:
+                    continue
                 parts = parts_of(text)
                 kinds = weak_kinds(parts)
                 order = [crc32(f"{doc} {at}".encode()) for at in range(len(parts))]
@@ -231,9 +238,9 @@ def kind_of(text: str, weights: np.ndarray, intercepts: np.ndarray, hashes: _Has
     if not parts:
         return None
     ids, of, sizes, odd = features(parts, hashes)
-    worth = weights[ids]
-    scores = np.stack([np.bincount(of, worth[:, k], len(parts)) for k in range(len(KINDS))]) + intercepts[:, None]
-    best = scores.argmax(axis=0)
+    n = len(KINDS)
+    scores = np.bincount((of[:, None] * n + np.arange(n)).ravel(), weights[ids].ravel(), n * len(parts)).reshape(-1, n) + intercepts
+    best = scores.argmax(axis=1)
     # n-grams can't tell strings that were never seen before; their shape can
     best[[at for at in odd if best[at] == 0 and only_fills(parts[at])]] = KINDS.index("filler")
     if only_fills(text):
