@@ -3,7 +3,7 @@
 Method: a regularized linear classifier over hashed word n-grams, length and title features of the parts of a text
 (sentences and lines), trained on weak labels from response statuses and phrases. What a weak label says of a short
 record isn't believed inside a text of other parts: there, such a part explains or quotes. The classifier is fitted on
-at most ``TRAIN_DOCUMENTS`` documents and ``TRAIN_PARTS`` parts of each kind, from most hosts; the hosts left out
+at most ``TRAIN_SHORT`` short and ``TRAIN_LONGER`` longer documents and ``TRAIN_PARTS`` parts of each kind, from most hosts; the hosts left out
 validate it. Every part of every document is scored; parts of a few words again and again, or of neighbouring keys, are
 ``filler`` by their shape.
 
@@ -34,7 +34,9 @@ from ..session import cut_lineage
 
 KINDS = ["content", "placeholder", "filler", "error_page", "script_notice"]
 #: Bounds of what the classifier is fitted on; of the parts of content four times as many.
-TRAIN_DOCUMENTS, TRAIN_PARTS = 6_000, 3_000
+TRAIN_SHORT, TRAIN_LONGER, TRAIN_PARTS = 10_000, 3_000, 3_000
+#: Short documents have at most so many code points; most residue is among them.
+SHORT_TEXT = 600
 #: Of the parts of content one in so many is learned from.
 CONTENT_ONE_IN = 3
 #: Of long texts, whose parts are alike, one in so many is learned from.
@@ -139,7 +141,7 @@ def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray,
     """Buckets of the n-grams, length, shape and title features of parts, the part of each, the parts' words, and odd parts."""
     joined = "\n" + "\n".join(parts).lower() + "\n"
     if max(map(len, joined.split()), default=0) >= 30:
-        joined = _LONG.sub("§long", joined)
+        joined = _LONG.sub("longrun", joined)
     words = _WORD.findall(joined)
     hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     breaks = hashed == 0
@@ -214,9 +216,10 @@ def training_parts(documents: DataFrame) -> DataFrame:
 def fitted(documents: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and intercepts of the classifier, from hosts that aren't held out; nothing if only content is known."""
     open_hosts = documents.where(~held_out())
-    n = open_hosts.count()
-    share = min(1.0, TRAIN_DOCUMENTS / max(1, n))
-    bounded = open_hosts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else open_hosts
+    short = F.length("text") <= SHORT_TEXT
+    n = open_hosts.agg(F.count_if(short).alias("short"), F.count_if(~short).alias("longer")).first()
+    share = F.when(short, TRAIN_SHORT / max(1, n["short"])).otherwise(TRAIN_LONGER / max(1, n["longer"]))
+    bounded = open_hosts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     parts = cut_lineage(training_parts(bounded).repartition(8))
     if parts.select("label").distinct().count() < 2:
         return None
