@@ -190,7 +190,7 @@ _TOKENS = re.compile(r"```|\$\$|\\[()\[\]{}$|]|[()\[\]{}„“”«»$`]")
 
 def stops_inside(text: str) -> bool:
     """Pushdown parse of a text: whether it ends inside a structure, or without an end of its own."""
-    text = text.rstrip(" \t\r\n​﻿ ")
+    text = text.rstrip(" \t\r\n\u200b\ufeff ")
     if not _WORDS.search(text):
         return False
     if _CUT_MARK.search(text):

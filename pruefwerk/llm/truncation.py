@@ -34,7 +34,7 @@ SHORT_WORD = 5
 #: So many last characters decide what the final trigram is: an item has at most 80, and three words come after it.
 TAIL = 200
 
-_BLANKS = r"' \t\n\r\f ​﻿'"
+_BLANKS = r"' \t\n\r\f\u00a0\u200b\ufeff'"
 _MARK = r"(?:\\[|\\()?(?:\\.\\.\\.+|…)(?:\\]|\\))?$"
 _UNMARKED = f"concat(left(text, length(text) - 12), regexp_replace(right(text, 12), '{_MARK}', ''))"
 #: Patterns and what stands for them; applied in this order.
