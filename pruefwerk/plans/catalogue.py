@@ -105,7 +105,7 @@ def image_dedup(spark, sf_dir):
 
 @query
 def token_estimate(spark, sf_dir):
-    chars = F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length(F.left("retrieved_context", F.lit(1500))), F.lit(0))
+    chars = F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("retrieved_context"), F.lit(0))
     return table(spark, sf_dir, "answers").select("answer_id", X.token_estimate(chars, 1200).alias("tokens"))
 
 
