@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -16,8 +18,22 @@ def random_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("draw", seeded(F.col(key), seed)).orderBy("draw", key).limit(n)
 
 
+def random_share(df: DataFrame, key: str, size: Callable[[Column], Column], seed: int = 42) -> DataFrame:
+    """``size`` of the number of rows without replacement, where it may grow with them.
+
+    The draws are counted by their first digits; a row is ranked within its digits only, so that no task orders all rows.
+    """
+    drawn = df.withColumn("draw", seeded(F.col(key), seed)).withColumn("digits", F.left("draw", F.lit(3)))
+    order = Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = drawn.groupBy("digits").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("digits", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"), size(F.sum("n").over(Window.partitionBy())).alias("size"))
+    ranked = drawn.join(F.broadcast(before.where("before < size")), "digits")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("digits").orderBy("draw", key))
+    return ranked.withColumn("rank", rank).where("rank <= size").drop("digits", "before", "size", "rank")
+
+
 def review_size(n: Column, share: float = 0.3, least: int = 15) -> Column:
-    return F.least(F.greatest(F.lit(least), F.floor(n * share + 0.999).cast("int")), n)
+    return F.least(F.greatest(F.lit(least), F.floor(n * share + 0.999)), n)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int = 10, seed: int = 42) -> DataFrame:

@@ -317,7 +317,9 @@ def pvalue_corrections(spark, sf_dir):
 
 @query
 def sample_review(spark, sf_dir):
-    return sampling.random_sample(table(spark, sf_dir, "answers", "answer_id", "system"), "answer_id", 60)
+    """Of the questions that all systems answered, the share that the reference gives to a person to review."""
+    questions = evaluation.aligned(table(spark, sf_dir, "answers"))
+    return sampling.random_share(questions, "question_id", sampling.review_size)
 
 
 @query

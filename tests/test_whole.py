@@ -1,5 +1,7 @@
 """Queries do their whole job where tables are longer, larger or later than a cut would show."""
 
+import datetime as dt
+
 from pruefwerk.plans import QUERIES
 
 
@@ -8,3 +10,17 @@ def test_token_estimate_takes_the_whole_context(spark, tmp_path):
     spark.createDataFrame(answers, "answer_id bigint, question string, retrieved_context string").write.parquet(str(tmp_path / "answers.parquet"))
     got = {r.answer_id: r.tokens for r in QUERIES["token_estimate"](spark, str(tmp_path)).collect()}
     assert got == {1: 1680, 2: 2010, 3: 1230}
+
+
+def test_sample_review_grows_with_the_questions(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    for n, wanted in ((10, 10), (40, 15), (1000, 300)):
+        answers = [(3 * i + j, f"q{i}", s, "a", "c", at) for i in range(n) for j, s in enumerate(("baseline", "rag_semantic", "rag_raw"))]
+        answers += [(3 * n + i, f"only{i}", "baseline", "a", None, at) for i in range(50)]
+        schema = "answer_id bigint, question_id string, system string, answer string, retrieved_context string, answered_at timestamp_ntz"
+        spark.createDataFrame(answers, schema).write.parquet(str(tmp_path / str(n) / "answers.parquet"))
+        got = QUERIES["sample_review"](spark, str(tmp_path / str(n))).collect()
+        ids = {r.question_id for r in got}
+        assert len(got) == len(ids) == wanted and not any(i.startswith("only") for i in ids)
+        drawn = max(r.draw for r in got)
+        assert QUERIES["align_answers"](spark, str(tmp_path / str(n))).where(f"md5(concat('42|', question_id)) <= '{drawn}'").count() == wanted
