@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,32 +48,62 @@ def hourly(calls: DataFrame) -> DataFrame:
     ).select(F.col("w.start").alias("hour"), "kind", "n_calls", "tokens")
 
 
+def _spans(timed: DataFrame, limit: int) -> DataFrame:
+    """``model, minute, span, next_span``: the minutes of a model's calls, cut where no earlier call matters any more.
+
+    A bound on the backlog: start calls only at full minutes, in order, as many as fit. That is admissible, and the fold is
+    never later. A minute that leaves a call over takes more than ``limit`` less the need of that call; the part of the need
+    above ``small`` is counted with the call a second time, so that such a minute takes ``limit - small`` at least. If nothing
+    is left over at minute m - 2 and m - 2 and m - 1 together fit into ``limit``, the calls of m - 1 start when they come and
+    those before have left the window by m: a span begins with m and needs the calls of m - 1 only to fill its window.
+    """
+    small = limit // 8
+    minutes = timed.groupBy("model", "minute").agg(F.sum("need").alias("need"), F.sum(F.col("need") + F.greatest(F.col("need") - small, F.lit(0))).alias("weight"))
+    order = Window.partitionBy("model").orderBy("minute")
+    until = lambda last: order.rangeBetween(Window.unboundedPreceding, last)
+    free = lambda came, minute: F.coalesce(came, F.lit(0)) - minute * (limit - small)
+    level = minutes.withColumn("level", free(F.sum("weight").over(until(-1)), F.col("minute")))
+    early, least = free(F.sum("weight").over(until(-3)), F.col("minute") - 2), F.min("level").over(until(-2))
+    fits = F.coalesce(F.sum("need").over(order.rangeBetween(-2, -1)), F.lit(0)) <= limit
+    cut = level.withColumn("cut", fits & (least.isNull() | (early <= least)))
+    spans = cut.withColumn("span", F.max(F.when(F.col("cut"), F.col("minute"))).over(until(0)))
+    follows = (F.lead("minute").over(order) == F.col("minute") + 1) & F.lead("cut").over(order)
+    return spans.select("model", "minute", "span", F.when(follows, F.col("minute") + 1).alias("next_span"))
+
+
 def admitted(calls: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
     """``call_id, model, day, start_s``: when each call may start if its model's tokens in a minute stay under ``limit``.
 
-    Admission is a fold over the calls of one model and day in time order, read batch by batch; it keeps only what was
-    admitted within the last minute.
+    Admission is a fold over a model's calls in time order, read batch by batch; it keeps only what was admitted within the
+    last minute. A model is cut into spans that don't depend on each other, each with the minute before it as helpers.
+    A call without a time has no start.
     """
-    timed = calls.select(F.coalesce("model", F.lit("")).alias("model"), F.to_date("ts").alias("day"), (F.expr(EPOCH) / 1e6).alias("at"), "call_id", F.coalesce("total_tokens", F.lit(0)).alias("tokens"))
-    ordered = timed.repartition("model", "day").sortWithinPartitions("model", "day", "at", "call_id")
+    need = F.least(F.coalesce("total_tokens", F.lit(0)).cast("bigint"), F.lit(max(limit - 1, 1)))
+    timed = calls.where("ts IS NOT NULL").select(
+        F.coalesce("model", F.lit("")).alias("model"), F.to_date("ts").alias("day"), F.expr(EPOCH).alias("us"), "call_id", F.greatest(need, F.lit(0)).alias("need")
+    ).withColumn("minute", F.floor(F.col("us") / (WINDOW_SECONDS * 1_000_000)))
+    spans = F.array_compact(F.array(F.struct("span", F.lit(False).alias("helper")), F.when(F.col("next_span").isNotNull(), F.struct(F.col("next_span").alias("span"), F.lit(True).alias("helper")))))
+    copies = timed.join(_spans(timed, limit), ["model", "minute"]).select("model", "day", "us", "call_id", "need", F.inline(spans))
+    ordered = copies.select("*", (F.col("us") / 1e6).alias("at")).repartition("model", "span").sortWithinPartitions("model", "span", "us", "call_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, recent, used, clock = None, [], 0, 0.0
+        key, recent, used, clock = None, deque(), 0, 0.0
         for batch in batches:
             starts = []
-            for model, day, at, tokens in zip(batch["model"], batch["day"], batch["at"], batch["tokens"]):
-                if (model, day) != key:
-                    key, recent, used, clock = (model, day), [], 0, 0.0
-                need, clock = min(int(tokens), max(limit - 1, 1)), max(clock, at)
+            for model, span, at, need in zip(batch["model"], batch["span"], batch["at"], batch["need"]):
+                if (model, span) != key:
+                    key, recent, used, clock = (model, span), deque(), 0, 0.0
+                clock = max(clock, at)
                 while True:
                     while recent and recent[0][0] <= clock - WINDOW_SECONDS:
-                        used -= recent.pop(0)[1]
+                        used -= recent.popleft()[1]
                     if used + need <= limit or not recent:
                         break
                     clock = recent[0][0] + WINDOW_SECONDS
                 recent.append((clock, need))
                 used += need
                 starts.append(clock)
-            yield pd.DataFrame({"call_id": batch["call_id"], "model": batch["model"], "day": batch["day"], "start_s": starts})
+            yield batch.assign(start_s=starts).loc[~batch["helper"], ["call_id", "model", "day", "start_s"]]
 
-    return ordered.mapInPandas(fold, "call_id bigint, model string, day date, start_s double")
+    untimed = calls.where("ts IS NULL").select("call_id", F.coalesce("model", F.lit("")).alias("model"), F.to_date("ts").alias("day"), F.lit(None).cast("double").alias("start_s"))
+    return ordered.mapInPandas(fold, "call_id bigint, model string, day date, start_s double").unionByName(untimed)

@@ -1,7 +1,9 @@
 """Queries do their whole job where tables are longer, larger or later than a cut would show."""
 
 import datetime as dt
+import random
 
+from pruefwerk.operators import calllog
 from pruefwerk.plans import QUERIES
 
 
@@ -24,3 +26,42 @@ def test_sample_review_grows_with_the_questions(spark, tmp_path):
         assert len(got) == len(ids) == wanted and not any(i.startswith("only") for i in ids)
         drawn = max(r.draw for r in got)
         assert QUERIES["align_answers"](spark, str(tmp_path / str(n))).where(f"md5(concat('42|', question_id)) <= '{drawn}'").count() == wanted
+
+
+CALLS = "call_id bigint, model string, ts timestamp_ntz, total_tokens int"
+
+
+def _folded(calls, limit):
+    starts, recent, clock = {}, {}, {}
+    for i, model, ts, tokens in sorted(calls, key=lambda c: (c[2], c[0])):
+        need, now = min(tokens or 0, limit - 1), max(clock.get(model, 0.0), ts.replace(tzinfo=dt.timezone.utc).timestamp())
+        kept = recent.setdefault(model, [])
+        while sum(n for s, n in kept if s > now - 60) + need > limit:
+            now = min(s for s, _ in kept if s > now - 60) + 60
+        kept[:] = [k for k in kept if k[0] > now - 60] + [(now, need)]
+        starts[i] = clock[model] = now
+    return starts
+
+
+def test_admission_goes_on_after_midnight(spark):
+    late = dt.datetime(2025, 1, 1, 23, 59, 30)
+    calls = [(i, "m", late + dt.timedelta(seconds=s), 10) for i, s in enumerate([0, 1, 2, 3, 40, 41, 300])] + [(7, "m", None, 10)]
+    got = {r.call_id: r.start_s for r in calllog.admitted(spark.createDataFrame(calls, CALLS), 20).collect()}
+    first = late.replace(tzinfo=dt.timezone.utc).timestamp()
+    assert [None if got[i] is None else got[i] - first for i in range(8)] == [0, 1, 60, 61, 120, 121, 300, None]
+
+
+def test_admission_by_spans_is_the_fold_of_a_model(spark):
+    rnd, start = random.Random(3), dt.datetime(2025, 1, 1, 20)
+    calls = []
+    for model, mean in (("calm", 20), ("even", 9), ("busy", 5.6), ("above", 4)):
+        at = 0.0
+        for _ in range(1500):
+            at += rnd.expovariate(1 / mean) * (20 if rnd.random() < 0.01 else 1)
+            calls.append((len(calls), model, start + dt.timedelta(seconds=round(at, 3)), 150 if rnd.random() < 0.01 else rnd.randint(1, 18)))
+    df = spark.createDataFrame(calls, CALLS)
+    got = {r.call_id: r.start_s for r in calllog.admitted(df, 100).collect()}
+    assert got == _folded(calls, 100)
+    timed = df.selectExpr("model", f"floor({calllog.EPOCH} / 60e6) AS minute", "cast(least(total_tokens, 99) AS bigint) AS need")
+    spans = {r.model: r["count"] for r in calllog._spans(timed, 100).select("model", "span").distinct().groupBy("model").count().collect()}
+    assert spans["calm"] > 100 and spans["even"] > 10
