@@ -76,8 +76,6 @@ _SENTENCES = re.compile(r"(?<=[.!?;])\s+|\n+")
 
 def declines(answer: str) -> bool:
     """Whether an answer consists of sentences that decline and of such that accompany them."""
-    if len(answer) > 800:
-        return False
     found = False
     for sentence in _SENTENCES.split(answer.lower()):
         sentence = sentence.strip(" \t\"'„“”*_-–.!;,")
@@ -99,17 +97,17 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
     while True:
         best: list[tuple[int, int, int]] = []
         longest = least
-        for i, word in enumerate(a):
-            if used_a[i]:
-                continue
-            for j in places.get(word, ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
-                    n += 1
+        after: dict[int, int] = {}
+        for i in range(len(a) - 1, -1, -1):
+            # the lengths of the runs from here, by those from the next word
+            here = {} if used_a[i] else {j: after.get(j + 1, 0) + 1 for j in places.get(a[i], ()) if not used_b[j]}
+            for j, n in here.items():
                 if n > longest:
                     best, longest = [(i, j, n)], n
                 elif n == longest:
                     best.append((i, j, n))
+            after = here
+        best.sort()
         if not best:
             return out
         for i, j, n in best:
@@ -121,12 +119,16 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
 def copies_question(question: str, answer: str) -> bool:
     """Whether the question covers the answer but for a lead-in before it and a changed word in each repetition."""
     q, a = _WORDS.findall(question.lower()), _WORDS.findall(answer.lower())
-    if not q or not a or len(a) > 4 * len(q) + 8:
+    if not q or not a:
         return False
     common = Counter(q)
     if sum(word in common for word in a) < 0.6 * len(a):
         return False
     times = max(1, round(len(a) / len(q)))
+    changed = max(2, len(q) // 10) * times
+    # no tiling covers a word more often than the question has it
+    if len(a) - sum(min(n, common[word] * times) for word, n in Counter(a).items()) > 8 + changed:
+        return False
     covered = [False] * len(a)
     for i, _, n in tiles(a, q * times):
         covered[i : i + n] = [True] * n
@@ -135,7 +137,7 @@ def copies_question(question: str, answer: str) -> bool:
     first = covered.index(True)
     lead = 0 if first <= 2 and len(a) <= len(q) * times else first
     open_words = covered[lead:].count(False)
-    return lead <= 8 and open_words <= max(2, len(q) // 10) * times and len(a) - lead <= len(q) * times + times
+    return lead <= 8 and open_words <= changed and len(a) - lead <= len(q) * times + times
 
 
 def script_of(text: str) -> str | None:
@@ -236,8 +238,9 @@ def _defects(questions: pd.Series, answers: pd.Series) -> pd.Series:
 
 def is_empty(text: Column) -> Column:
     """Null, or nothing but blanks, signs or a word that stands for "no value"."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return text.isNull() | (F.length(text) <= 200) & ((plain == "") | plain.isin(*NO_VALUE)) | ~text.rlike(r"[\p{L}\p{N}]")
+    sign = r"[^\p{L}\p{N}]"
+    words = "|".join(word.replace(" ", f"{sign}++") for word in NO_VALUE)
+    return text.isNull() | F.lower(text).rlike(rf"^{sign}*+(?:{words}){sign}*+\z") | ~text.rlike(r"[\p{L}\p{N}]")
 
 
 def with_defect(df: DataFrame, question: str, answer: str) -> DataFrame:

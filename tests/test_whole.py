@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pruefwerk.llm.pairs import defective_pairs
 from pruefwerk.operators import calllog
 from pruefwerk.plans import QUERIES
 
@@ -65,3 +66,12 @@ def test_admission_by_spans_is_the_fold_of_a_model(spark):
     timed = df.selectExpr("model", f"floor({calllog.EPOCH} / 60e6) AS minute", "cast(least(total_tokens, 99) AS bigint) AS need")
     spans = {r.model: r["count"] for r in calllog._spans(timed, 100).select("model", "span").distinct().groupBy("model").count().collect()}
     assert spans["calm"] > 100 and spans["even"] > 10
+
+
+def test_defects_of_answers_of_any_length(spark):
+    q = "Was versteht man unter Registerblock, und wodurch unterscheidet sich dieser Begriff von der Pfadregel?"
+    sound = "Unter Registerblock versteht man den Speicher mit genau 12 Einträgen. Die Pfadregel ist davon nicht betroffen. "
+    refusal = "Leider kann ich diese Frage nicht beantworten. Bitte wenden Sie sich an die Kursleitung. "
+    answers = [refusal * 12, " ".join([q] * 9), "\n".join(["Frage: " + q] * 40), "n/a" + " - " * 100, "\n" * 300 + "(Keine Angabe)", refusal * 12 + sound, (sound * 20).strip(), q + " " + sound * 20]
+    found = defective_pairs(spark.createDataFrame([(i, q, a) for i, a in enumerate(answers)], "id bigint, q string, a string"), "q", "a")
+    assert {r.id: r.defect for r in found.collect()} == {0: "refusal", 1: "copied_question", 2: "copied_question", 3: "empty", 4: "empty"}
