@@ -37,10 +37,6 @@ KINDS = ["content", "placeholder", "filler", "error_page", "script_notice"]
 TRAIN_SHORT, TRAIN_LONGER, TRAIN_PARTS = 10_000, 3_000, 3_000
 #: Short documents have at most so many code points; most residue is among them.
 SHORT_TEXT = 600
-#: Of the parts of content one in so many is learned from.
-CONTENT_ONE_IN = 3
-#: Of long texts, whose parts are alike, one in so many is learned from.
-LONG_TEXT, LONG_ONE_IN = 3_000, 6
 #: A host in so many is left out of the training.
 HELD_OUT = 4
 BUCKETS = 1 << 14
@@ -194,15 +190,13 @@ def training_parts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(text) > LONG_TEXT and crc32(str(doc).encode()) % LONG_ONE_IN:
-                    continue
                 parts = parts_of(text)
                 kinds = weak_kinds(parts)
                 order = [crc32(f"{doc} {at}".encode()) for at in range(len(parts))]
-                taken = [at for at, kind in enumerate(kinds) if kind is not None and (kind != "content" or order[at] % CONTENT_ONE_IN == 0)]
+                taken = [at for at, kind in enumerate(kinds) if kind is not None]
                 if taken:
                     ids, of, _, _ = features(parts, hashes)
-                    rows += [(float(KINDS.index(kinds[at])), order[at] // CONTENT_ONE_IN, list(map(str, ids[of == at]))) for at in taken]
+                    rows += [(float(KINDS.index(kinds[at])), order[at], list(map(str, ids[of == at]))) for at in taken]
             columns = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.list_(pa.string())))], ["label", "at", "ids"])
 
