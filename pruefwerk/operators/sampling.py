@@ -46,4 +46,6 @@ def balanced_quota(df: DataFrame, kind: str, key: str, target: int, kinds: list[
     """A third of the target of each of three kinds; the remainder goes to the first kinds in order."""
     quota = F.lit(target // len(kinds)) + F.coalesce(*(F.when(F.col(kind) == k, F.lit(int(i < target % len(kinds)))) for i, k in enumerate(kinds)))
     order = Window.partitionBy(kind).orderBy(seeded(F.col(key), seed), key)
-    return df.where(F.col(kind).isin(kinds)).withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= quota)
+    # the constant lets Spark drop rows before they are shuffled and sorted
+    most = -(-target // len(kinds))
+    return df.where(F.col(kind).isin(kinds)).withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= most).where(F.col("draw") <= quota)

@@ -5,7 +5,7 @@ import random
 
 from pruefwerk.llm.pairs import defective_pairs
 from pruefwerk.llm.residue import training_parts
-from pruefwerk.operators import calllog
+from pruefwerk.operators import calllog, sampling
 from pruefwerk.plans import QUERIES
 
 
@@ -83,3 +83,10 @@ def test_residue_learns_from_every_part_within_its_bounds(spark):
     long = "\n\n".join(sentence * 4 for _ in range(10))
     docs = spark.createDataFrame([(i, long if i < 12 else sentence * 2) for i in range(40)], "doc_id bigint, text string")
     assert len(long) > 3000 and training_parts(docs).count() == 12 * 40 + 28 * 2
+
+
+def test_quota_limits_before_the_shuffle(spark):
+    df = spark.createDataFrame([(i, "abc"[min(i % 10, 2)]) for i in range(3000)], "id bigint, kind string")
+    got = sampling.balanced_quota(df, "kind", "id", 50, ["a", "b", "c"])
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == {"a": 17, "b": 17, "c": 16}
