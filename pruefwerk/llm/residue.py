@@ -1,11 +1,11 @@
 """Problem 8: records that hold template residue, filler, error pages or script notices instead of content.
 
-Method: a regularized linear classifier over hashed word n-grams, length and title features of the parts of a text
-(sentences and lines), trained on weak labels from response statuses and phrases. What a weak label says of a short
-record isn't believed inside a text of other parts: there, such a part explains or quotes. The classifier is fitted on
-at most ``TRAIN_SHORT`` short and ``TRAIN_LONGER`` longer documents and ``TRAIN_PARTS`` parts of each kind, from most hosts; the hosts left out
-validate it. Every part of every document is scored; parts of a few words again and again, or of neighbouring keys, are
-``filler`` by their shape.
+Method: a regularized linear classifier over hashed word n-grams, length, shape and title features of the parts of a
+text (sentences and lines), trained on weak labels from response statuses, phrases and shapes. What a weak label says of
+a short record isn't believed inside a text of other parts: there, such a part explains or quotes. The classifier is
+fitted on at most ``TRAIN_SHORT`` short and ``TRAIN_LONGER`` longer documents and ``TRAIN_PARTS`` parts of each kind,
+from most hosts; the hosts left out validate it. Every part of every document is scored, many documents at a time as
+one sparse product, and the scores alone decide.
 
 A document is a ``placeholder`` if any part is one; it is ``filler``, ``error_page`` or ``script_notice`` if parts of
 these kinds hold at least half of its words.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -35,6 +36,8 @@ from ..session import cut_lineage
 KINDS = ["content", "placeholder", "filler", "error_page", "script_notice"]
 #: Bounds of what the classifier is fitted on; of the parts of content four times as many.
 TRAIN_SHORT, TRAIN_LONGER, TRAIN_PARTS = 10_000, 3_000, 3_000
+#: What a part of residue counts in the training; one of content counts 1.
+RESIDUE_WEIGHT = 2.0
 #: Short documents have at most so many code points; most residue is among them.
 SHORT_TEXT = 600
 #: A host in so many is left out of the training.
@@ -42,6 +45,11 @@ HELD_OUT = 4
 BUCKETS = 1 << 14
 #: Share of a document's words in residue from which on it is residue.
 RESIDUE_SHARE = 0.5
+#: So many characters are featurized and scored at once.
+BLOCK_CHARS = 1 << 18
+
+#: Marks of a field of a template and of left-out code, from the private-use area, so that no text has them.
+FIELD, CODE = "\ue000", "\ue001"
 
 #: Formulas and code; each pattern with what it begins with, as a text without that needn't be searched.
 _CODE = [
@@ -53,20 +61,23 @@ _FIELD = re.compile(
     r"|@@\w{2,40}@@|#[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}#|%[A-ZÄÖÜ][A-ZÄÖÜ_]{2,40}%|__[A-ZÄÖÜ][A-ZÄÖÜ_]{1,40}__|«\w{2,40}»|<insert [^>\n]{1,60}>|<[A-ZÄÖÜ][A-ZÄÖÜ_ ]{2,50}>|\bX{4,}\b"
     r"|\[[^\[\]\n]{1,50}?(?:\.\.\.|…|ergänzen|eintragen|einfügen|einsetzen|angeben|folgt|here|TODO)\]"
 )
-_FIELD_SIGN = re.compile(r"[{<\[@«]|[%#][A-ZÄÖÜ]|__|XXXX")
-_PARTS = re.compile(r"(?<=[.!?])\s+|\n+")
-_LONG = re.compile(r"[^\W_]{30,}")
-_AWAY = re.compile(r"[nmiou]", re.I)
-_WORD = re.compile(r"\n|[^\W\d_]+|\d+|§|[<>|=_~*#]{2,}|[-.]{4,}")
+_FIELD_SIGNS = ("{", "<", "[", "@@", "«", "__", "%", "#", "XXXX")
+_PARTS = re.compile(r"\s(?:(?<=[.!?]\s)|(?<=\n))\s*")
+_WORD = re.compile(rf"\w+|\n|{FIELD}|[<>|=~*#]{{2,}}|[-.]{{4,}}")
+_DIGITS = re.compile(r"\d+")
+#: Keys of the left hand and of the home row, and words that have no other letters.
 _HOME_ROW = frozenset("qwertzasdfghjklöäyxcvb")
+_WRITTEN = frozenset("das der des er erst es fast hat ist jede jeder lesen letzte rest satz sehr statt takt wert werte".split())
 _SCRIPT = re.compile(r"script|skript|\bjs\b|inhalte|active content", re.I)
+#: A response status at the beginning of a part.
+_STATUS = re.compile(r"^\W*(?:http\S*|status|error|fehler|code)?\W{0,3}[45]\d\d\b", re.I)
 #: Phrases that give weak labels.
 _WEAK = {
     "script_notice": re.compile(
         r"(?:javascript|\bjs\b|skripte?n?\b|scripts?\b|scripting|aktive[nr]? inhalte|active content).{0,90}(?:aktivier|einschalt|einzuschalt|schalten|erlaub|zulassen|zugelassen|freigeb|blockier|unterdrück|verweiger|deaktiviert|abgeschaltet|benötig|erforderlich|enable|turn(?:ed)? o|requir|needs|disabled|blocked|allow)"
         r"|(?:aktivier|einschalt|eingeschalt|schalten|erlaub|zulassen|freigeb|blockier|unterdrück|verweiger|benötigt|erforderlich|enable|turn on|requires?|needs?|blocking|unterstützt keine|without|ohne).{0,60}(?:javascript|\bjs\b|skripte?\b|scripts?\b|scripting|aktive inhalte|active content)", re.I),
     "error_page": re.compile(
-        r"^\W*(?:http|status|error|fehler|code)?\W{0,3}[45]\d\d\b|traceback \(most recent|^\s*\w*(?:error|exception): |^\s*(?:warning|fatal error|fehler): |\bon line \d+|^\s+file \"|^\s+at [\w.$]+"
+        r"traceback \(most recent|^\W*[\w.]*(?:error|exception): |^\s*(?:warning|fatal error|fehler): |\bon line \d+|^file \"|^at \w+\.[\w.$]+|connection (?:refused|reset|closed)"
         r"|nicht gefunden|not found|(?:zugriff|kein zugriff).{0,20}(?:verweigert|rolle)|access (?:denied|forbidden)|forbidden|timed out|abgelaufen after|bad gateway|unerwarteter fehler|ein fehler aufgetreten|fehlgeschlagen \(|konnte nicht (?:geladen|gefunden)|could not be (?:loaded|found)"
         r"|existiert nicht|does not exist|(?:wurde|been) (?:entfernt|removed|verschoben)|nicht vorhanden|temporarily (?:blocked|unavailable)|vorübergehend|wartungsarbeiten|maintenance|something went wrong|erforderlichen rechte|hoppla", re.I),
     "filler": re.compile(
@@ -81,14 +92,18 @@ def parts_of(text: str) -> list[str]:
     plain = text
     for begin, pattern in _CODE:
         if begin in plain:
-            plain = pattern.sub(" ¤ ", plain)
-    if _FIELD_SIGN.search(plain):
-        plain = _FIELD.sub(" § ", plain)
+            plain = pattern.sub(f" {CODE} ", plain)
+    if any(sign in plain for sign in _FIELD_SIGNS):
+        plain = _FIELD.sub(f" {FIELD} ", plain)
     return [part for part in _PARTS.split(plain) if part.strip()]
 
 
+#: What is known of a word: its hash in the low bits, then flags, then its number of letters, 255 at most.
+_HASH, _NARROW, _HOME, _ALPHA, _LETTERS = np.uint64((1 << 34) - 1), np.uint64(1 << 40), np.uint64(1 << 41), np.uint64(1 << 42), np.uint64(48)
+
+
 class _Hashes(dict):
-    """Hashes of the words seen, numbers alike; emptied at ``most``. A line break, between two parts, is 0."""
+    """Hash and flags of the words seen, numbers alike; emptied at ``most``. A line break, between two parts, is 0."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
@@ -97,114 +112,140 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = 0 if word == "\n" else crc32(("0" if word.isdigit() else word).encode()) + 1
+        if word == "\n":
+            value = 0
+        else:
+            letters = "".join(filter(str.isalpha, word))
+            value = crc32(("longrun" if len(word) >= 30 else _DIGITS.sub("0", word)).encode()) + 1
+            if letters:
+                signs = set(letters)
+                value |= int(_ALPHA) | (int(_NARROW) if len(signs) <= 2 else 0) | (int(_HOME) if signs <= _HOME_ROW and word not in _WRITTEN else 0) | min(len(letters), 255) << 48
+        self[word] = value
         return value
 
 
-_SHAPES = {name: [crc32(f"§{name}{i}".encode()) % BUCKETS for i in range(12)] for name in ("repeats", "keys", "one", "field")}
-_BETWEEN = frozenset(" ,.;:!-\t")
-_LENGTHS = np.array([crc32(f"§n{i}".encode()) % BUCKETS for i in range(8)], np.uint64)
-_FIELD_HASH = np.uint64(crc32("§".encode()) + 1)
-_SIGNS, _LOWER = (crc32(name) % BUCKETS for name in (b"signs", b"lower"))
-
-
-def shape_of(part: str) -> list[int]:
-    """Buckets for the characters of a part, whatever its words are; a strong feature has several."""
-    out = [_LOWER] if part[:1].islower() else []
-    if not _AWAY.search(part):
-        letters = "".join(filter(str.isalpha, part.lower()))
-        signs = set(letters)
-        if not letters:
-            out.append(_SIGNS)
-        elif len(letters) >= 8 and signs <= _HOME_ROW and not {"der", "das", "er", "es", "des"} & set(part.lower().split()):
-            out += _SHAPES["keys"]
-        if len(letters) >= 5 and len(signs) <= 2:
-            out += _SHAPES["one"]
-    elif len(set(part[:16].lower()) - _BETWEEN) <= 2 and len(part) >= 5 and len(set(part.lower()) - _BETWEEN) <= 2:
-        out += _SHAPES["one"]
-    return out
-
-
-def only_fills(text: str) -> bool:
-    """Whether a text is a few words again and again, or keys of neighbouring rows."""
-    words = text.lower().split()
-    if len(words) >= 6 and 4 * len(set(words)) <= 2 * len(words) and len({w for w in words if w[0].isalpha()}) <= min(3, len(words) // 4) and sum(w[0].isalpha() for w in words) >= len(words) / 2:
-        return True
-    return not _AWAY.search(text) and _SHAPES["keys"][0] in shape_of(text)
-
-
-def features(parts: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Buckets of the n-grams, length, shape and title features of parts, the part of each, the parts' words, and odd parts."""
-    joined = "\n" + "\n".join(parts).lower() + "\n"
-    if max(map(len, joined.split()), default=0) >= 30:
-        joined = _LONG.sub("longrun", joined)
-    words = _WORD.findall(joined)
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+_SHAPES = {name: [crc32(f"shape {name} {i}".encode()) % BUCKETS for i in range(12)] for name in ("repeats", "keys", "one", "field")}
+_LENGTHS = np.array([crc32(f"length {i}".encode()) % BUCKETS for i in range(8)])
+_FIELD_HASH = np.uint64(crc32(FIELD.encode()) + 1)
+_SIGNS, _LOWER = ([crc32(name) % BUCKETS] for name in (b"shape signs", b"shape lower"))
+
+
+@dataclass
+class Features:
+    """Buckets ``ids`` of parts, the part ``of`` each, and for each part its document, words and whether its shape is odd."""
+
+    ids: np.ndarray
+    of: np.ndarray
+    document: np.ndarray
+    n_words: np.ndarray
+    odd: np.ndarray
+
+
+def _distinct(of: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """How many different words each of ``n`` owners has; ``words`` are under 2 ** 33."""
+    own = np.sort((of.astype(np.uint64) << np.uint64(33)) + words)
+    first = np.r_[True, own[1:] != own[:-1]][: len(own)]
+    return np.bincount((own[first] >> np.uint64(33)).astype(np.int64), minlength=n)
+
+
+def features(documents: list[list[str]], hashes: _Hashes) -> Features:
+    """N-grams, length, shape and title features of the parts of documents, all documents at once."""
+    parts = [part for document in documents for part in document]
+    document = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
+    words = _WORD.findall("\n" + "\n".join(parts).lower() + "\n")
+    known = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    hashed = known & _HASH
     breaks = hashed == 0
     part = np.cumsum(breaks) - 1
-    single = ~breaks
+    of_words, own, known = part[~breaks], hashed[~breaks], known[~breaks]
     pairs = ((hashed[:-1] * np.uint64(0x9E3779B1) + hashed[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(BUCKETS)
     pair_part = np.where(breaks[1:], part[:-1], part[1:])
-    title = hashed[1:7][(part[1:7] == 0) & single[1:7]]
-    titles = ((title * np.uint64(0xC2B2AE35)) >> np.uint64(9)) % np.uint64(BUCKETS)
-    of_words, own = part[single], hashed[single]
-    n_words = np.bincount(of_words, minlength=len(parts))
-    distinct = np.bincount(np.unique((of_words.astype(np.uint64) << np.uint64(33)) + own) >> np.uint64(33), minlength=len(parts))
-    shapes = [shape_of(p) for p in parts]
-    for at in np.unique(of_words[own == _FIELD_HASH]):
-        shapes[at] += _SHAPES["field"]
-    for at in np.flatnonzero((n_words >= 4) & (3 * distinct <= n_words)):
-        shapes[at] += _SHAPES["repeats"]
-    ids = np.concatenate([own % np.uint64(BUCKETS), pairs, titles, _LENGTHS[np.minimum(n_words, 21) // 3], np.array([i for x in shapes for i in x], np.uint64)]).astype(np.int64)
-    every = np.arange(len(parts))
-    of = np.concatenate([of_words, pair_part, np.zeros(len(titles), np.int64), every, np.repeat(every, [len(x) for x in shapes])])
-    odd = [at for at, x in enumerate(shapes) if len(x) > 10]  # with a strong feature
-    return ids, of, np.maximum(n_words, 1), odd
-
-
-def weak_kinds(parts: list[str]) -> list[str | None]:
-    """Weak labels of the parts of a text; null where there is no opinion."""
+    # the first words of a document are its title
+    begins = np.flatnonzero(np.r_[True, document[1:] != document[:-1]][: len(document)])
+    places = np.arange(len(own)) - np.searchsorted(of_words, of_words)
+    titled = np.isin(of_words, begins) & (places < 6)
+    titles = ((own[titled] * np.uint64(0xC2B2AE35)) >> np.uint64(9)) % np.uint64(BUCKETS)
+
+    count = lambda which=None: np.bincount(of_words if which is None else of_words[which], minlength=len(parts))
+    n_words, alpha = count(), (known & _ALPHA) > 0
+    n_alpha, letters = count(alpha), np.bincount(of_words, known >> _LETTERS, len(parts))
+    in_document = np.bincount(document, n_words, len(documents)).astype(np.int64)
+    few = (in_document >= 6) & (_distinct(document[of_words], own, len(documents)) <= np.minimum(3, in_document // 4))
+    shapes = {
+        "repeats": few[document] | (n_words >= 4) & (3 * _distinct(of_words, own, len(parts)) <= n_words),
+        "keys": (n_alpha >= 3) & (letters >= 8) & (count(alpha & ((known & _HOME) == 0)) == 0),
+        "one": (letters >= 5) & (count(alpha & ((known & _NARROW) == 0)) == 0),
+        "field": count(own == _FIELD_HASH) > 0,
+    }
+    plain = [(_SIGNS, n_alpha == 0), (_LOWER, np.fromiter((p[:1].islower() for p in parts), bool, len(parts)))]
+    # n-grams of a part that repeats itself count once
+    spoken = np.concatenate([own % np.uint64(BUCKETS), pairs]).astype(np.int64), np.concatenate([of_words, pair_part])
+    again = shapes["repeats"][spoken[1]]
+    once = np.unique(spoken[1][again] * BUCKETS + spoken[0][again])
+    shaped = [(np.tile(buckets, int(which.sum())), np.repeat(np.flatnonzero(which), len(buckets))) for buckets, which in [*((_SHAPES[k], v) for k, v in shapes.items()), *plain]]
+    ids = [spoken[0][~again], once % BUCKETS, titles, _LENGTHS[np.minimum(n_words, 21) // 3], *(x for x, _ in shaped)]
+    of = [spoken[1][~again], once // BUCKETS, of_words[titled], np.arange(len(parts)), *(x for _, x in shaped)]
+    odd = shapes["repeats"] | shapes["keys"] | shapes["one"]
+    return Features(np.concatenate([x.astype(np.int64) for x in ids]), np.concatenate(of), document, np.maximum(n_words, 1), odd)
+
+
+def weak_kinds(parts: list[str], odd: np.ndarray) -> list[str | None]:
+    """Weak labels of the parts of a text, some of them of an ``odd`` shape; null where there is no opinion."""
     found = []
-    for part in parts:
-        kind = "placeholder" if "§" in part else next((k for k, pattern in _WEAK.items() if k != "script_notice" and pattern.search(part) or k == "script_notice" and _SCRIPT.search(part) and pattern.search(part)), None)
+    for part, is_odd in zip(parts, odd):
+        kind = "placeholder" if FIELD in part else "error_page" if _STATUS.search(part) else None
         if kind is None:
-            words = part.lower().split()
-            if len(words) >= 4 and 3 * len(set(words)) <= len(words) or len(shape_of(part)) > 10:
-                kind = "filler"
-        found.append(kind)
+            kind = next((k for k, pattern in _WEAK.items() if (k != "script_notice" or _SCRIPT.search(part)) and pattern.search(part)), None)
+        found.append("filler" if kind is None and is_odd else kind)
     sizes = [len(p.split()) for p in parts]
     prose = sum(n for n, kind in zip(sizes, found) if kind is None and n >= _PROSE)
     residue = sum(n for n, kind in zip(sizes, found) if kind not in (None, "placeholder"))
     if not residue or prose >= max(residue, _CONTENT):
         # real content surrounds the phrase: it explains or quotes
-        return [kind if kind == "placeholder" else "content" if kind or n >= _PROSE or "¤" in part else None for kind, n, part in zip(found, sizes, parts)]
+        return [kind if kind == "placeholder" else "content" if kind or n >= _PROSE or CODE in part else None for kind, n, part in zip(found, sizes, parts)]
     main = max(set(found) - {None, "placeholder"}, key=lambda k: (sum(n for n, x in zip(sizes, found) if x == k), k))
     return [kind if kind else main if n < 2 * _PROSE else None for kind, n in zip(found, sizes)]
 
 
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in their order, together about ``BLOCK_CHARS`` long."""
+    begin = size = 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size >= BLOCK_CHARS:
+            yield texts[begin : at + 1]
+            begin, size = at + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def training_parts(documents: DataFrame) -> DataFrame:
     """``label, ids`` of a bounded number of weakly labelled parts."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = parts_of(text)
-                kinds = weak_kinds(parts)
-                order = [crc32(f"{doc} {at}".encode()) for at in range(len(parts))]
-                taken = [at for at, kind in enumerate(kinds) if kind is not None]
-                if taken:
-                    ids, of, _, _ = features(parts, hashes)
-                    rows += [(float(KINDS.index(kinds[at])), order[at], list(map(str, ids[of == at]))) for at in taken]
-            columns = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.list_(pa.string())))], ["label", "at", "ids"])
-
-    labelled = documents.select("doc_id", "text").mapInArrow(label, "label double, at bigint, ids array<string>")
+            keys = iter(batch.column(0).to_pylist())
+            for texts in blocks(batch.column(1).to_pylist()):
+                documents = [parts_of(text) for text in texts]
+                found = features(documents, hashes)
+                order = np.argsort(found.of, kind="stable")
+                ids, ends = found.ids[order], np.cumsum(np.bincount(found.of, minlength=len(found.document)))
+                rows, at = [], 0
+                for parts in documents:
+                    doc = next(keys)
+                    for i, kind in enumerate(weak_kinds(parts, found.odd[at : at + len(parts)])):
+                        if kind is not None:
+                            rows.append((float(KINDS.index(kind)), crc32(f"{doc} {i}".encode()), ids[ends[at - 1] if at else 0 : ends[at]]))
+                        at += 1
+                columns = list(zip(*rows)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.list_(pa.int64())))], ["label", "at", "ids"])
+
+    labelled = documents.select("doc_id", "text").mapInArrow(label, "label double, at bigint, ids array<bigint>")
     # four shares of content, each limited before the shuffle
     share = F.when(F.col("label") == 0, F.pmod(F.col("at"), F.lit(4))).otherwise(0)
     numbered = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label", share).orderBy("at")))
-    return numbered.where(F.col("n") <= TRAIN_PARTS).select("label", "ids")
+    return numbered.where(F.col("n") <= TRAIN_PARTS).select("label", F.col("ids").cast("array<string>").alias("ids"))
 
 
 def fitted(documents: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -218,36 +259,30 @@ def fitted(documents: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     if parts.select("label").distinct().count() < 2:
         return None
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "ids", "features").transform(parts)
-    model = LogisticRegression(family="multinomial", regParam=2e-5, maxIter=50, standardization=False).fit(counted)
+    counted = counted.withColumn("weight", F.when(F.col("label") == 0, 1.0).otherwise(RESIDUE_WEIGHT))
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-5, maxIter=60, standardization=False).fit(counted)
     weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     full_weights, full_intercepts = np.zeros((len(KINDS), BUCKETS)), np.full(len(KINDS), -1e9)
     full_weights[: len(weights)], full_intercepts[: len(intercepts)] = weights, intercepts
-    return np.ascontiguousarray(full_weights.T), full_intercepts
+    return full_weights, full_intercepts
 
 
 def held_out():
     return F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(HELD_OUT)) == 0
 
 
-def kind_of(text: str, weights: np.ndarray, intercepts: np.ndarray, hashes: _Hashes) -> str | None:
-    """The kind of residue that a text is; ``weights`` has a row for each bucket."""
-    parts = parts_of(text)
-    if not parts:
-        return None
-    ids, of, sizes, odd = features(parts, hashes)
+def kinds_of(texts: list[str], weights: np.ndarray, intercepts: np.ndarray, hashes: _Hashes) -> list[str | None]:
+    """The kinds of residue that texts are; ``weights`` has a row for each kind."""
+    found = features([parts_of(text) for text in texts], hashes)
     n = len(KINDS)
-    scores = np.bincount((of[:, None] * n + np.arange(n)).ravel(), weights[ids].ravel(), n * len(parts)).reshape(-1, n) + intercepts
+    scores = np.stack([np.bincount(found.of, w[found.ids], len(found.document)) + b for w, b in zip(weights, intercepts)], axis=1)
     best = scores.argmax(axis=1)
-    # n-grams can't tell strings that were never seen before; their shape can
-    best[[at for at in odd if best[at] == 0 and only_fills(parts[at])]] = KINDS.index("filler")
-    if only_fills(text):
-        return "filler"
-    if (best == 1).any():
-        return "placeholder"
-    by_kind = np.bincount(best, sizes, len(KINDS))
-    if by_kind[2:].sum() < RESIDUE_SHARE * sizes.sum():
-        return None
-    return KINDS[2 + int(by_kind[2:].argmax())]
+    words = np.bincount(found.document * n + best, found.n_words, len(texts) * n).reshape(-1, n)
+    kinds = 2 + words[:, 2:].argmax(axis=1)
+    kinds[words[:, 2:].sum(axis=1) < RESIDUE_SHARE * words.sum(axis=1)] = 0
+    kinds[words.sum(axis=1) == 0] = 0
+    kinds[words[:, 1] > 0] = 1
+    return [KINDS[k] if k else None for k in kinds]
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -267,8 +302,7 @@ def scored(documents: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercepts, hashes = *shared.value, _Hashes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            kinds = [kind_of(text, weights, intercepts, hashes) for text in texts]
+            kinds = [kind for texts in blocks(batch.column(2).to_pylist()) for kind in kinds_of(texts, weights, intercepts, hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], ["doc_id", "source", "kind"])
 
     return filled.mapInArrow(score, schema)
@@ -280,8 +314,10 @@ def validation(documents: DataFrame) -> DataFrame:
     @F.pandas_udf(T.StringType())
     def weak_kind(texts: pd.Series) -> pd.Series:
         out = []
+        hashes = _Hashes()
         for text in texts:
-            kinds = weak_kinds(parts_of(text))
+            parts = parts_of(text)
+            kinds = weak_kinds(parts, features([parts], hashes).odd)
             named = [k for k in kinds if k not in (None, "content")]
             out.append("placeholder" if "placeholder" in kinds else max(sorted(set(named)), key=named.count) if named else None)
         return pd.Series(out, dtype=object)
