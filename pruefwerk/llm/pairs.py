@@ -1,7 +1,7 @@
 """Problem 3: unusable answers, each with the first defect that fits.
 
 ``empty``            null, or nothing but blanks, signs or a word that stands for "no value"
-``refusal``          every sentence declines, apologises or refers elsewhere, and at least one declines
+``refusal``          every sentence accompanies a refusal or is one by a grammar over classes of words; at least one is
 ``copied_question``  greedy string tiling covers the answer by the question but for a lead-in and a changed word
 ``other_language``   another script, or the function words of another language than the question's
 ``truncated``        a pushdown parser over fences, formulas, brackets, quotations, lists, tables and markup ends inside
@@ -17,7 +17,7 @@ repeated rows give a row each; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,24 +30,46 @@ NO_VALUE = (
     "nan", "nichts", "nil", "no answer", "none", "null", "ohne antwort", "respuesta", "réponse", "tbd", "todo", "undefined", "unbekannt",
 )
 
-#: Sentences that decline, matched in lower case.
-DECLINES = re.compile(
-    r"\b(?:kann|darf|möchte|werde|will|könnte)\b.{0,60}\b(?:nicht|keine?n?)\b.{0,80}(?:beantwort|bearbeit|antwort|auskunft|helfen|behilflich|stellung)"
-    r"|\bmuss\b.{0,60}(?:verzichten|ablehnen|passen)|\bich\b.{0,40}\b(?:verzichten|ablehnen|passen) muss"
-    r"|\bfehl(?:t|en) mir\b|\bmir fehl(?:t|en)\b|\blieg(?:t|en) mir\b.{0,50}\bkeine?\b|\bmir\b.{0,90}\bnicht bekannt\b"
-    r"|\bmir\b.{0,30}\bnicht möglich\b|\bnicht möglich\b.{0,40}\b(?:antwort|beantwort)"
-    r"|\bkann\b.{0,20}\bkeine (?:aussage|antwort|auskunft)\b|\bgebe ich\b.{0,30}\bkeine (?:antwort|auskunft)\b"
-    r"|\b(?:anfrage|frage|aufgabe)\b.{0,20}\b(?:wird|kann)\b.{0,20}\bnicht\b.{0,30}(?:bearbeitet|beantwortet)|\bich weiß\b.{0,20}\bnicht\b|\bkeine ahnung\b"
-    r"|\b(?:i|we)\b.{0,40}\b(?:cannot|can't|can’t|can not|unable|decline|won't|will not|not able|not allowed)\b.{0,80}\b(?:help|assist|answer|provide|respond|comply|discuss)"
-    r"|\b(?:do not|don't|don’t) have (?:enough|sufficient|the|any)\b.{0,30}\b(?:information|context|data)|\bi (?:do not|don't|don’t) know\b|\bcan(?:not|'t|’t) (?:provide|answer|help)\b|\bmust decline\b"
-    r"|\bje (?:ne|n')\b.{0,40}\bpas\b.{0,60}\b(?:répondre|aider|réponse|fournir|information)|\bje ne sais pas\b"
-    r"|\bno (?:puedo|podemos|dispongo|tengo|me es posible)\b.{0,60}(?:respond|contest|ayud|inform|proporcion)|\bno lo sé\b"
-    r"|\bnon (?:posso|sono in grado)\b.{0,60}(?:rispond|aiut|forn)|\bnão (?:posso|consigo|tenho)\b.{0,60}(?:respond|ajud|inform)|\bik kan\b.{0,40}\bniet\b.{0,40}(?:beantwoord|help)|\bnie mogę\b"
-)
-#: Sentences that only accompany such a sentence.
-ACCOMPANIES = re.compile(
-    r"^(?:es )?tut mir (?:sehr )?leid|^entschuldig|^verzeih|^bitte\b|^gerne?\b|^ich bitte\b|^wenden sie\b|^(?:i'm|i’m|i am) sorry|^sorry|^unfortunately|^please\b|^i (?:would|can) be happy|^let me know|^feel free|^apolog|^désolé|^je (?:suis|regrette)|^veuillez|^lo siento|^por favor|^mi dispiace|^desculp"
-)
+#: The lexicon of the refusal grammar, lower-case words by their class.
+REFUSAL_WORDS = {
+    # speaker
+    "S": "ich wir mir uns mich i we me us je nous me yo nosotros io noi eu nós ik wij ja",
+    # ability or permission
+    "M": "kann können darf dürfen möchte möchten werde werden will wollen könnte wird can could will would may able allowed peux pouvons puedo podemos posso possiamo consigo kan kunnen mogę",
+    # negation
+    "N": "nicht kein keine keinen keiner keinerlei keines not no nor pas aucune aucun non não niet geen nie",
+    # negated ability in one word
+    "U": "cannot unable won can't can’t won't won’t",
+    # negated verbs of having
+    "H": "don't don’t doesn't doesn’t",
+    # answering and helping
+    "A": "beantworten beantwortet beantworte antworten antwort antworte auskunft auskünfte helfen weiterhelfen hilfe behilflich stellung bearbeiten bearbeitet bearbeite aussage help assist assistance answer answers provide respond "
+    "comply discuss répondre réponse aider fournir responder contestar ayudar informar proporcionar rispondere aiutare fornire responda ajudar beantwoorden helpen odpowiedzieć pomóc",
+    # declining
+    "D": "verzichten ablehnen passen decline refuse",
+    # knowledge and what it rests on
+    "B": "bekannt",
+    "O": "ahnung",
+    "K": "weiß weiss kenntnis know knowledge information informations informationen information angaben daten data context kontext sais información sé saber informazioni informação informações",
+    "E": "muss müssen must",
+    "X": "fehlt fehlen liegt liegen vorliegen have haben habe tengo dispongo dispone tenho gebe",
+    "P": "möglich possible posible",
+    "Q": "anfrage frage aufgabe question request",
+}
+_CLASS_OF = {word: symbol for symbol, words in REFUSAL_WORDS.items() for word in words.split()}
+#: The grammar: what the classes of the words of a sentence that declines have to contain, in this order.
+REFUSAL_RULES = [
+    "M[^A]*N.*A", "S.*[UH].*[AK]", "S.*N.*M.*A", "U[SQ]*A", "[UH].*A", "M.*S.*N.*A",  # kann ... nicht beantworten; I cannot help
+    "E.*D", "S.*D.*E",  # muss ... ablehnen; ich passen muss
+    "XS", "SX.*[NK]", "SX$", "X.*S.*N", "SNB", "S.*N[^A]*[KBO]", "S.*N.*P", "NP.*A",  # mir fehlen; mir ... nicht bekannt; mir nicht möglich
+    "X.*S.*N.*A", "Q.*M.*N.*A", "Q.*A.*N", "S[^A]*K.*N", "NO", "S.*N.*X.*K", "S.*[NH].*X.*K", "SH.*K", "NM.*A", "NX.*A", "S.*N.*A",
+]
+_RULES = re.compile("|".join(REFUSAL_RULES))
+#: How sentences begin that only accompany such a sentence.
+ACCOMPANYING = (
+    "es tut mir leid", "es tut mir sehr leid", "tut mir leid", "tut mir sehr leid", "entschuldig", "verzeih", "bitte ", "gern", "ich bitte", "wenden sie", "i'm sorry", "i’m sorry", "i am sorry", "sorry", "unfortunately", "please ",
+    "i would be happy", "i can be happy", "let me know", "feel free", "apolog", "désolé", "je suis", "je regrette", "veuillez", "lo siento", "por favor", "mi dispiace", "desculp",
+)
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -72,48 +94,59 @@ _SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
 _WORDS = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?;])\s+|\n+")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
+def classes(sentence: str) -> str:
+    """The classes of the words of a sentence that the refusal grammar knows."""
+    return "".join(_CLASS_OF.get(word, "") for word in _SPOKEN.findall(sentence))
 
 
 def declines(answer: str) -> bool:
-    """Whether an answer consists of sentences that decline and of such that accompany them."""
+    """Whether an answer consists of sentences that the grammar derives and of such that accompany them."""
     found = False
     for sentence in _SENTENCES.split(answer.lower()):
         sentence = sentence.strip(" \t\"'„“”*_-–.!;,")
         if not sentence:
             continue
-        if DECLINES.search(sentence):
+        if _RULES.search(classes(sentence)):
             found = True
-        elif not ACCOMPANIES.search(sentence):
+        elif not sentence.startswith(ACCOMPANYING):
             return False
     return found
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: maximal common runs ``(at in a, at in b, length)``, the longest first, none overlapping."""
-    used_a, used_b, out = [False] * len(a), [False] * len(b), []
-    places: dict[str, list[int]] = {}
-    for j, word in enumerate(b):
-        places.setdefault(word, []).append(j)
-    while True:
-        best: list[tuple[int, int, int]] = []
-        longest = least
-        after: dict[int, int] = {}
-        for i in range(len(a) - 1, -1, -1):
-            # the lengths of the runs from here, by those from the next word
-            here = {} if used_a[i] else {j: after.get(j + 1, 0) + 1 for j in places.get(a[i], ()) if not used_b[j]}
-            for j, n in here.items():
-                if n > longest:
-                    best, longest = [(i, j, n)], n
-                elif n == longest:
-                    best.append((i, j, n))
-            after = here
-        best.sort()
-        if not best:
-            return out
-        for i, j, n in best:
-            if not any(used_a[i : i + n]) and not any(used_b[j : j + n]):
-                used_a[i : i + n], used_b[j : j + n] = [True] * n, [True] * n
-                out.append((i, j, n))
+    """Greedy string tiling: maximal common runs ``(at in a, at in b, length)``, long ones first, none overlapping.
+
+    Runs are looked for by their first words, half as many each time; each place of ``b`` is tried once for a length, so
+    that words that are there again and again cost no more than others.
+    """
+    used_a, used_b, out = bytearray(len(a)), bytearray(len(b)), []
+    length = 1 << max(min(len(a), len(b)), 1).bit_length() - 1
+    while length >= least:
+        places: dict[tuple[str, ...], deque[int]] = {}
+        for j in range(len(b) - length + 1):
+            if not any(used_b[j : j + length]):
+                places.setdefault(tuple(b[j : j + length]), deque()).append(j)
+        i = 0
+        while i <= len(a) - length:
+            found = None if any(used_a[i : i + length]) else places.get(tuple(a[i : i + length]))
+            while found and any(used_b[found[0] : found[0] + length]):
+                found.popleft()
+            if not found:
+                i += 1
+                continue
+            j, n = found.popleft(), length
+            while i + n < len(a) and j + n < len(b) and not used_a[i + n] and not used_b[j + n] and a[i + n] == b[j + n]:
+                n += 1
+            used_a[i : i + n], used_b[j : j + n] = b"\1" * n, b"\1" * n
+            out.append((i, j, n))
+            i += n
+        if length == least:
+            break
+        length = max(least, length // 2)
+    return out
 
 
 def copies_question(question: str, answer: str) -> bool:
@@ -178,46 +211,92 @@ def other_language(question: str, answer: str) -> bool:
     return answer_shares[spoken] >= 0.15 and answer_shares[spoken] >= 1.6 * answer_shares[expected] and question_shares[expected] >= 1.3 * question_shares[spoken]
 
 
-_OPENERS = {"(": ")", "[": "]", "{": "}", "„": "“”", "«": "»", "»": "«"}
+_BRACKETS = {"(": ")", "[": "]", "{": "}", "„": "“”", "«": "»", "»": "«", "\\(": "\\)", "\\[": "\\]"}
+#: Structures that one sign opens and closes.
+_PAIRED = ("```", "$$", "$", "`", "**", "__", "~~", '"')
+#: What may go on over a blank line.
+_BLOCKS = ("```", "$$", "\\[", "pre", "table", "ul", "ol", "div")
+_CLOSED_TAGS = frozenset("a b blockquote code div em i ol pre s span strong sub sup table u ul".split())
 _CUT_MARK = re.compile(r"(?:\[|\()?(?:\.{3,}|…)(?:\]|\))?$")
+_ITEM = re.compile(r"^\s*(?:([-*•+])|(\d{1,3})[.)])(?:\s+(\S.*))?$")
 _SOUND_LINE = re.compile(
-    r"^\s*(?:[-*•+]|\d{1,3}[.)])\s+\S"  # an item
-    r"|^\s*\|.*\|$"  # a row
-    r"|^\s*#{1,6}\s+\S"  # a heading
+    r"^\s*#{1,6}\s+\S"  # a heading
     r"|^[^\W\d_][\w ()/-]{0,40}:\s*[^\s.]+(?:\s[^\s.]+){0,2}$"  # a label with its value
     r"|(?:[.!?]\s+|^)[A-ZÄÖÜ][\w-]*:\s*[^\s.]+(?:\s[^\s.]+)?$"
 )
-_TOKENS = re.compile(r"```|\$\$|\\[()\[\]{}$|]|[()\[\]{}„“”«»$`]")
+_TOKENS = re.compile(r"```|\$\$|\\[()\[\]]|\\[{}$|\\]|\n\s*\n|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>|\*\*|__|~~|[()\[\]{}„“”«»$`\"]")
+_OPEN_TAG = re.compile(r"</?[A-Za-z]*(?:\s[^<>\n]*)?$")
+_STRUCTURED = re.compile(r"[`$\\()\[\]{}„“”«»\"<]|\*\*|__|~~")
 
 
-def stops_inside(text: str) -> bool:
-    """Pushdown parse of a text: whether it ends inside a structure, or without an end of its own."""
-    text = text.rstrip(" \t\r\n\u200b\ufeff ")
-    if not _WORDS.search(text):
-        return False
-    if _CUT_MARK.search(text):
-        return True
+def open_structures(text: str) -> list[str]:
+    """Pushdown parse: the structures that a text leaves open, the innermost last."""
     stack: list[str] = []
-    for token in _TOKENS.findall(text):
-        top = stack[-1] if stack else ""
-        if token in ("```", "$$", "$", "`"):
+    for match in _TOKENS.finditer(text):
+        token, top = match.group(), stack[-1] if stack else ""
+        before, after = text[match.start() - 1 : match.start()] or " ", text[match.end() : match.end() + 1] or " "
+        if token[0] == "\n":
+            # a paragraph ends what stands within lines
+            while stack and stack[-1] not in _BLOCKS:
+                stack.pop()
+        elif top in ("```", "`", "$", "$$", "\\(", "\\[") and token != top and token != _BRACKETS.get(top):
+            if token == "```" and "```" in stack:
+                del stack[stack.index("```") :]
+        elif token in _PAIRED:
             if top == token:
                 stack.pop()
-            elif token in stack and token in ("```", "$$"):
+            elif token in stack:
                 del stack[stack.index(token) :]
-            elif top not in ("```", "`"):
+            elif token in ("```", "$$", "$", "`") or not after.isspace() and not before.isalnum():
+                # emphasis and quotations begin before a word
                 stack.append(token)
-        elif top in ("```", "`", "$", "$$") or token[0] == "\\":
-            continue
-        elif token in _OPENERS and not (token == "“" or token == "”"):
-            stack.append(token)
-        elif stack and token in _OPENERS[stack[-1]]:
+        elif token[0] == "<":
+            name = token.strip("</>").split()[0].lower()
+            if name in _CLOSED_TAGS and token[1] != "/" and token[-2] != "/":
+                stack.append(name)
+            elif token[1] == "/" and name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name) :]
+        elif stack and top in _BRACKETS and token in (_BRACKETS[top] if len(top) == 1 else (_BRACKETS[top],)):
             stack.pop()
-    if any(opened in ("```", "$$", "$", "`", "„", "«", "(", "[", "{") for opened in stack):
+        elif token in _BRACKETS:
+            stack.append(token)
+    return stack
+
+
+def _open_item(line: str, before: list[str]) -> bool | None:
+    """Whether a last line is an item or a row that isn't finished; nothing if it is neither."""
+    row = line.strip()
+    if row.startswith("|"):
+        rows = [x.strip() for x in before if x.strip().startswith("|")]
+        return not row.endswith("|") or len(row) == 1 or bool(rows) and rows[-1].count("|") != row.count("|")
+    item = _ITEM.match(line)
+    if not item:
+        return None
+    others = [m for m in map(_ITEM.match, before) if m]
+    bullet, number, rest = item.groups()
+    if rest is None:
+        return any(m.group(1) == bullet if bullet else (m.group(2) or "") == str(int(number) - 1) for m in others)
+    # an item of a list of sentences is one itself
+    sentences = [m.group(3) for m in others if m.group(3)]
+    return len(sentences) >= 2 and all(x.rstrip()[-1] in ".!?" for x in sentences) and rest.rstrip("*_~ ")[-1:] not in tuple(".!?:)`$\"“”»]}")
+
+
+def stops_inside(text: str) -> bool:
+    """Whether a text ends inside a structure, an item or a row, or without an end of its own."""
+    text = text.rstrip(" \t\r\n​﻿ ")
+    if not _WORDS.search(text):
+        return False
+    if _CUT_MARK.search(text) or _OPEN_TAG.search(text, text.rfind("<") if "<" in text else len(text)):
+        return True
+    if _STRUCTURED.search(text) and any(opened not in ("»", "“") for opened in open_structures(text)):
         return True
-    if text[-1] in ".!?:|`$)]}“”\"»«>":
+    lines = text.split("\n")
+    unfinished = _open_item(lines[-1], lines[:-1])
+    if unfinished is not None:
+        return unfinished
+    if text.rstrip("*_~")[-1:] in tuple(".!?:|`$)]}“”\"»«>"):
         return False
-    return not _SOUND_LINE.search(text[text.rfind("\n") + 1 :])
+    return not _SOUND_LINE.search(lines[-1])
 
 
 def defect_of(question: str, answer: str) -> str | None:
