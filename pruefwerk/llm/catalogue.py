@@ -94,8 +94,8 @@ def _cut_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     cut = truncation.truncated(records).distinct()
     # only cut answers are looked at for the other defects
     asked = answers.select(F.lit("answer").alias("kind"), F.col("answer_id").alias("record_id"), "question", "answer")
-    judged = pairs.with_defect(cut.join(asked, ["kind", "record_id"], "left"), "question", "answer")
-    return records.select(*once).distinct(), judged.where("defect IS NULL OR defect = 'truncated'").select(*once)
+    judged = truncation.other_defect(cut.join(asked, ["kind", "record_id"], "left"), "question", "answer")
+    return records.select(*once).distinct(), judged.where("NOT defective").select(*once)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +134,3 @@ def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill, p8_found, p8_clean, p8_validation)}
-
-
-P1_FOUND = """
-SELECT 'pages_raw.text' AS field, page_id AS record_id FROM pages_raw
-WHERE length(text) > (SELECT max_chars FROM split_limits WHERE field = 'pages_raw.text')
-UNION ALL
-SELECT 'chunks.semantic.content', chunk_uid FROM chunks
-WHERE mode = 'semantic' AND length(content) > (SELECT max_chars FROM split_limits WHERE field = 'chunks.semantic.content')
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}

@@ -9,6 +9,8 @@ then its last one; whatever is counted is counted over all texts.
 A mark of the cut (dots, an ellipsis) and white space are taken off the end first. Items of a list are one word each,
 as an item may end in any word.
 
+An answer with another defect of problem 3 is no case; ``other_defect`` has these defects in SQL as well.
+
 Defined cases: null, blank and sign-only texts are never cut; texts of one or two words are padded at the left;
 repeated rows count as often as they are there, and give a row each; an empty table gives an empty result; other
 columns are ignored.
@@ -20,20 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .pairs import ACCOMPANYING, FUNCTION_WORDS, REFUSAL_RULES, REFUSAL_WORDS, is_empty
 
 #: A suffix is judged where so many ends would be expected if all suffixes ended texts equally often.
 EVIDENCE = 2.5
-#: It marks a cut if it ends less than this share of the expected number of texts. The share is larger for words, as a
-#: cut is the likelier to fall into a token the longer it is.
-WORD_END_SHARE, SIGN_END_SHARE = 1.2, 0.15
+#: It is almost never terminal, and marks a cut, if it ends less than this share of the texts that it would end if all
+#: places of texts were alike as ends. The ends that are cut count too; more of them fall into words, which are longer.
+WORD_END_SHARE, SIGN_END_SHARE = 0.5, 0.15
 #: From so many ends on, a suffix of which at least the share are ends is sound.
 SOUND_ENDS, SOUND_SHARE = 3, 0.1
 #: Words of at most so many letters stand for themselves.
 SHORT_WORD = 5
 
-#: So many last characters decide what the final trigram is: an item has at most 80, and three words come after it.
-TAIL = 200
-
 _BLANKS = r"' \t\n\r\f\u00a0\u200b\ufeff'"
 _MARK = r"(?:\\[|\\()?(?:\\.\\.\\.+|…)(?:\\]|\\))?$"
 _UNMARKED = f"concat(left(text, length(text) - 12), regexp_replace(right(text, 12), '{_MARK}', ''))"
@@ -45,6 +45,7 @@ _CLASSES = [
     (r"[0-9]+(?:[.,][0-9]+)*", "0"),
     (r"\\n+", "/"),
 ]
+_LAST_LINES = "substring_index(text, '\\n', -3)"
 _SHAPE = "CASE WHEN lower(left(c, 1)) = upper(left(c, 1)) THEN c WHEN lower(left(c, 1)) = left(c, 1) THEN 'aa' ELSE 'Aa' END"
 
 
@@ -60,9 +61,13 @@ def stripped(records: DataFrame) -> DataFrame:
 
 
 def final_classes(records: DataFrame) -> DataFrame:
-    """``records`` with the classes ``a, b, c`` of the last three words in place of the text."""
+    """``records`` with the classes ``a, b, c`` of the last three words in place of the text.
+
+    Classes don't reach over line breaks, so that the last lines are enough where they have three words.
+    """
     keys = [f"`{k}`" for k in records.columns if k != "text"]
-    last = records.selectExpr(*keys, f"{_classes(f'right(text, {TAIL})')} AS classes")
+    near = records.selectExpr(*keys, "text", f"{_classes(_LAST_LINES)} AS near")
+    last = near.selectExpr(*keys, f"CASE WHEN size(near) >= 5 THEN near ELSE {_classes('text')} END AS classes")
     return last.selectExpr(*keys, *(f"element_at(classes, {i}) AS {c}" for i, c in ((-3, "a"), (-2, "b"), (-1, "c"))))
 
 
@@ -111,3 +116,67 @@ def truncation_rates(records: DataFrame, cut: DataFrame, source: str) -> DataFra
     joined = every.alias("e").join(bad.alias("b"), F.col("e.kind").eqNullSafe(F.col("b.kind")) & F.col(f"e.{source}").eqNullSafe(F.col(f"b.{source}")), "left")
     n = F.coalesce("n_truncated", F.lit(0))
     return joined.select("e.kind", f"e.{source}", "n_records", n.alias("n_truncated"), (n / F.col("n_records")).alias("share"))
+
+
+def _texts(values) -> str:
+    return "array(" + ", ".join(f'"{v}"' for v in values) + ")"
+
+
+def _spoken(words: str) -> str:
+    """For each language the share of different words that are its function words."""
+    shares = (f"named_struct('share', size(array_intersect({words}, {_texts(known.split())})) / greatest(size({words}), 1), 'language', '{language}')" for language, known in FUNCTION_WORDS.items())
+    return f"array({', '.join(shares)})"
+
+
+_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Devanagari", "Thai", "Hangul", "Hiragana", "Han")
+
+
+def _written(text: str) -> str:
+    counts = (f"named_struct('n', length(regexp_replace({text}, '[^\\\\p{{Is{script}}}]', '')), 'script', '{script}')" for script in _SCRIPTS)
+    only_latin = f"NOT {text} rlike '[\\\\p{{L}}&&[^\\\\p{{IsLatin}}]]'"
+    return f"CASE WHEN {only_latin} THEN named_struct('n', cast({text} rlike '\\\\p{{L}}' AS int), 'script', 'Latin') ELSE array_max(array({', '.join(counts)})) END"
+
+
+def other_defect(asked: DataFrame, question: str, answer: str) -> DataFrame:
+    """``asked`` with ``defective``: whether an answer is a word for no value, a refusal, a copy of its question, or in another language.
+
+    Refusals by the grammar over classes of words, copies by the pairs of words that both have, in place of tiles of two
+    words and more, languages by their scripts and function words. False without a question.
+    """
+    lexicon = {word: symbol for symbol, words in REFUSAL_WORDS.items() for word in words.split()}
+    symbols = f"array_join(transform(regexp_extract_all(x, \"\\\\p{{L}}+(?:['’]\\\\p{{L}}+)?\", 0), w -> coalesce(try_element_at(lexicon, w), '')), '')"
+    derived = f"{symbols} rlike '{'|'.join(REFUSAL_RULES)}'"
+    accompanies = f"regexp_replace(x, '^[^\\\\p{{L}}]+', '') rlike \"^(?:{'|'.join(ACCOMPANYING)})\""
+    lower = asked.selectExpr("*", f"lower(`{question}`) AS asked_text", f"lower(`{answer}`) AS given_text")
+    words = lower.selectExpr(
+        "*", "regexp_extract_all(asked_text, '[\\\\p{L}\\\\p{N}]+', 0) AS q", "regexp_extract_all(given_text, '[\\\\p{L}\\\\p{N}]+', 0) AS a",
+        "filter(split(regexp_replace(given_text, '([.!?;])\\\\s+', '$1\\n'), '\\n+'), x -> x rlike '[\\\\p{L}\\\\p{N}]') AS sentences",
+        f"map_from_arrays({_texts(lexicon)}, {_texts(lexicon.values())}) AS lexicon",
+        "regexp_extract_all(asked_text, '\\\\p{L}+', 0) AS q_letters", "regexp_extract_all(given_text, '\\\\p{L}+', 0) AS a_letters",
+    )
+    pairs = lambda x: f"transform(arrays_zip(slice({x}, 1, greatest(size({x}) - 1, 0)), slice({x}, 2, size({x}))), p -> concat(p['0'], ' ', p['1']))"
+    measured = words.selectExpr(
+        "*", f"{pairs('q')} AS q_pairs", f"{pairs('a')} AS a_pairs", "greatest(1, round(size(a) / greatest(size(q), 1))) AS times",
+        # the first sentence settles most answers
+        f"forall(slice(sentences, 1, 1), x -> {derived} OR {accompanies}) AND forall(sentences, x -> {derived} OR {accompanies}) AND exists(sentences, x -> {derived}) AS refusal",
+        f"{_written('asked_text')} AS q_script", f"{_written('given_text')} AS a_script",
+        f"{_spoken('array_distinct(q_letters)')} AS q_shares", f"{_spoken('array_distinct(a_letters)')} AS a_shares",
+    )
+    # Spark would put what lambdas use into them and evaluate it for each word
+    measured = cut_lineage(measured)
+    covered = "transform(a, (w, i) -> array_contains(q_pairs, coalesce(try_element_at(a_pairs, i + 1), '')) OR i > 0 AND array_contains(q_pairs, coalesce(try_element_at(a_pairs, greatest(i, 1)), ''))) AS covered"
+    judged = measured.selectExpr("*", covered, "array_max(q_shares) AS q_most", "array_max(a_shares) AS a_most")
+    share = lambda shares, language: f"filter({shares}, s -> s.language = {language})[0].share"
+    lead = "CASE WHEN first <= 2 AND size(a) <= size(q) * times THEN 0 ELSE first END"
+    copied = (
+        f"first >= 0 AND size(filter(covered, c -> c)) >= 0.6 * size(q) AND {lead} <= 8 AND size(filter(slice(covered, cast({lead} AS int) + 1, size(a)), c -> NOT c)) <= greatest(2, size(q) div 10) * times"
+        f" AND size(a) - {lead} <= size(q) * times + times"
+    )
+    other_script = "q_script.n > 0 AND a_script.n > 0 AND q_script.script <> a_script.script AND size(a_letters) > 0 AND length(array_join(a_letters, '')) >= 8"
+    expected, spoken = share("a_shares", "q_most.language"), share("q_shares", "a_most.language")
+    language = (
+        f"a_most.language <> q_most.language AND size(a_letters) >= 6 AND q_most.share >= 0.1 AND a_most.share >= 0.15 AND a_most.share >= 1.6 * {expected} AND q_most.share >= 1.3 * {spoken}"
+    )
+    verdict = f"coalesce(asked_text rlike '\\\\S' AND (refusal OR {copied} OR {other_script} OR {language}), false) AS defective"
+    out = judged.selectExpr("*", "cast(array_position(covered, true) AS int) - 1 AS first").selectExpr(*(f"`{c}`" for c in asked.columns), verdict)
+    return out.withColumn("defective", F.col("defective") | F.coalesce(F.col(question).rlike(r"\S") & is_empty(F.col(answer)), F.lit(False)))

@@ -1,6 +1,6 @@
 import random
 
-from pruefwerk.llm.truncation import truncated, truncation_rates
+from pruefwerk.llm.truncation import final_classes, other_defect, truncated, truncation_rates
 
 ADJECTIVES = ["schnelle", "lokale", "globale", "leere", "geordnete", "statische"]
 NOUNS = [a + b for a in ("Pfad", "Takt", "Kosten", "Symbol", "Seiten", "Kanal") for b in ("tabelle", "funktion", "leitung", "variable", "steuerung")]
@@ -45,3 +45,18 @@ def test_empty_and_tiny_tables(spark):
     assert truncated(df.limit(0)).count() == 0
     assert truncation_rates(df.limit(0), truncated(df.limit(0)), "model").count() == 0
     assert truncated(df.where("id >= 5000")).count() == 0
+
+
+def test_final_words_of_any_length(spark):
+    texts = ["Der kurze Satz " + "x" * 250, "Der Satz\n" * 90 + "wort", "a\n\n\nb", "Ein " + "sehr " * 300 + "langer Satz"]
+    got = final_classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).collect()
+    assert {r.id: (r.a, r.b, r.c) for r in got} == {0: ("kurze", "Satz", "aa"), 1: ("Satz", "/", "wort"), 2: ("a", "/", "b"), 3: ("sehr", "aa", "Satz")}
+
+
+def test_other_defects_in_sql_are_those_of_problem_3(spark):
+    q = "Was versteht man unter Registerblock, und wodurch unterscheidet sich dieser Begriff von der Pfadregel?"
+    texts = ["None", "Leider kann ich diese Frage nicht beantworten. Bitte wenden Sie sich an die Kurs", "Was versteht man unter Registerblock, und wodurch unterscheidet sich die", "Frage: " + q[:70],
+             "Hay que comprobar además que el circuito de control no modifica la memoria compartida. En general", "Это ответ на другой язык, который мы не",
+             "Unter Registerblock versteht man den Speicher mit genau 12 Einträgen. Die", "Die Pfadregel ist davon nicht", None]
+    df = spark.createDataFrame([(i, q if i < 9 else None, t) for i, t in enumerate(texts)] + [(20, None, "None"), (21, " ", "Leider kann ich nicht helfen.")], "id int, question string, given string")
+    assert sorted(r.id for r in other_defect(df, "question", "given").where("defective").collect()) == [0, 1, 2, 3, 4, 5, 8]
