@@ -15,6 +15,8 @@ from ..functions.text import normalize_whitespace, page_marker
 
 TARGET_SIZE, OVERLAP = 1200, 150
 WINDOW_SIZE, WINDOW_STRIDE = 7, 3
+#: Chunks of a script that are looked at together for their page.
+PAGE_BLOCK = 1000
 
 
 class _Packer:
@@ -54,10 +56,13 @@ def semantic_pieces(text: str, target: int = TARGET_SIZE, overlap: int = OVERLAP
     return packer.chunks
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _semantic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([semantic_pieces(t) if t else [] for t in texts], dtype=object)
+def _semantic(text: Column, target: int, overlap: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([semantic_pieces(t, target, overlap) if t else [] for t in texts], dtype=object)
+
+    return pieces(text)
 
 
 def _raw(text: Column, target: int) -> Column:
@@ -74,18 +79,26 @@ def _raw(text: Column, target: int) -> Column:
     return F.transform(packed, lambda c: F.regexp_replace(F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+", ""), r"[ \t\n\x0B\f\r]+$", ""))
 
 
-def chunks_of(df: DataFrame, key: str, text: str, mode: str, target: int = TARGET_SIZE) -> DataFrame:
+def chunks_of(df: DataFrame, key: str, text: str, mode: str, target: int = TARGET_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``key, mode, chunk_index, chunk_id, content`` of every text, by the ``raw`` or ``semantic`` way."""
-    pieces = _semantic(F.col(text)) if mode == "semantic" else _raw(F.col(text), target)
+    pieces = _semantic(F.col(text), target, overlap) if mode == "semantic" else _raw(F.col(text), target)
     each = df.where(F.col(text).isNotNull()).select(key, F.posexplode(pieces).alias("chunk_index", "content"))
     return each.select(key, F.lit(mode).alias("mode"), "chunk_index", F.concat(F.lit("chunk_"), "chunk_index").alias("chunk_id"), "content")
 
 
 def page_map(chunks: DataFrame) -> DataFrame:
-    """``script_id, chunk_index, page_number``: the page of the last marker before or in each chunk."""
-    before = Window.partitionBy("script_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    marked = chunks.select("script_id", "chunk_index", page_marker(F.col("content")).alias("own"))
-    return marked.select("script_id", "chunk_index", F.last("own", ignorenulls=True).over(before).alias("page_number"))
+    """``script_id, chunk_index, page_number``: the page of the last marker before or in each chunk.
+
+    The last marker of each block of chunks is carried over the blocks of a script, and looked for within a block only,
+    so that a long script is spread over many tasks.
+    """
+    marked = chunks.select("script_id", "chunk_index", page_marker(F.col("content")).alias("own"), F.floor(F.col("chunk_index") / PAGE_BLOCK).alias("block"))
+    earlier = Window.partitionBy("script_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy("script_id", "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("chunk_index"))).alias("last"))
+    carried = ends.select("script_id", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    before = Window.partitionBy("script_id", "block").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    within = marked.withColumn("within", F.last("own", ignorenulls=True).over(before))
+    return within.join(carried, ["script_id", "block"]).select("script_id", "chunk_index", F.coalesce("within", "carried").alias("page_number"))
 
 
 def generation_windows(chunks: DataFrame, size: int = WINDOW_SIZE, stride: int = WINDOW_STRIDE) -> DataFrame:

@@ -62,11 +62,15 @@ def canonical_context(references: DataFrame, chunks: DataFrame, pages: DataFrame
     return ordered.select("key", F.size("p").cast("bigint").alias("n_pages"), F.array_join(F.col("p.page_text"), "\n\n").alias("context"))
 
 
-def claims(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, claim_index, claim``: sentences and lines of a text by the offline way of making claims."""
+def claims_of(text: Column) -> Column:
+    """Sentences and lines of a text, by the offline way of making claims."""
     trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, f"^{BLANKS}+", ""), f"{BLANKS}+$", "")
-    parts = F.filter(F.transform(F.split(F.col(text), r"[.!?][ \t\n\x0B\f\r]|\n"), trimmed), lambda c: c != "")
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("claim_index", "claim"))
+    return F.filter(F.transform(F.split(text, r"[.!?][ \t\n\x0B\f\r]|\n"), trimmed), lambda c: c != "")
+
+
+def claims(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, claim_index, claim`` of every claim of a text."""
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(claims_of(F.col(text))).alias("claim_index", "claim"))
 
 
 def token_set(text: Column) -> Column:
@@ -79,18 +83,18 @@ def is_supported(claim: Column, reference: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, reference)) / F.size(own) >= OVERLAP_SHARE)
 
 
-def judged_claims(df: DataFrame, key: str, statement: str, reference: str) -> DataFrame:
+def judged_claims(df: DataFrame, key: str, statement: str, reference: str, *carried: str) -> DataFrame:
     """``key, claim_index, claim, verdict, category`` of every claim of ``statement`` against ``reference``.
 
-    ``df`` also has ``question``. Category C repeats the question, B calculates, A states a fact.
+    ``df`` also has ``question``; the columns ``carried`` come along. Category C repeats the question, B calculates, A states a fact.
     """
-    made = claims(df, key, statement)
-    against = df.select(key, token_set(F.coalesce(F.col(reference), F.lit(""))).alias("reference_tokens"), token_set(F.coalesce("question", F.lit(""))).alias("question_tokens"))
-    joined = made.join(against, key)
+    tokens = [token_set(F.coalesce(F.col(c), F.lit(""))).alias(f"{name}_tokens") for name, c in (("reference", reference), ("question", "question"))]
+    # what a claim is held against goes along with it, so that there is nothing to join
+    joined = df.where(F.col(statement).isNotNull()).select(key, *carried, *tokens, F.posexplode(claims_of(F.col(statement))).alias("claim_index", "claim"))
     own = token_set(F.col("claim"))
     repeats = (F.size(own) > 0) & (F.size(F.array_except(own, F.col("question_tokens"))) == 0)
     category = F.when(repeats, "C").when(F.col("claim").rlike("[0-9]") & F.col("claim").rlike(r"[=+*/]"), "B").otherwise("A")
-    return joined.select(key, "claim_index", "claim", is_supported(F.col("claim"), F.col("reference_tokens")).alias("verdict"), category.alias("category"))
+    return joined.select(key, *carried, "claim_index", "claim", is_supported(F.col("claim"), F.col("reference_tokens")).alias("verdict"), category.alias("category"))
 
 
 def proportional(judged: DataFrame, *keys: str) -> DataFrame:

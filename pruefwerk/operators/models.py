@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +104,14 @@ def resumed(pending: DataFrame, key: str, step: Callable[[DataFrame], DataFrame]
     try:
         done = spark.read.parquet(path)
         pending = pending.join(done.select(key), key, "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    made = step(pending)
+    made, kept = step(pending), None
     if log and "latency_s" in made.columns:
-        made = made.persist()
+        made = kept = made.persist()
         append_calls(made.select(F.current_timestamp().alias("ts"), "attempts", "latency_s", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")), log)
     (made.where("error IS NULL") if "error" in made.columns else made).write.mode("append").parquet(path)
+    if kept is not None:
+        kept.unpersist()
     return spark.read.parquet(path)

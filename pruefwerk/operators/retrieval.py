@@ -54,7 +54,7 @@ def top_k_neighbors(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> D
 
 def contexts(neighbors: DataFrame, texts: DataFrame) -> DataFrame:
     """``query_id, n_passages, context``: the texts of the neighbours by rank, each text once; ``texts``: ``vec_id, text``."""
-    keyed = neighbors.join(texts.where("text IS NOT NULL"), "vec_id").withColumn("key", F.xxhash64(collapse_whitespace(F.col("text"))))
+    keyed = neighbors.join(texts.where("text IS NOT NULL"), "vec_id").withColumn("key", F.sha2(collapse_whitespace(F.col("text")), 256))
     first = keyed.groupBy("query_id", "key").agg(F.min(F.struct("rank", "text")).alias("p"))
     passages = first.groupBy("query_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return passages.select("query_id", F.size("ps").cast("bigint").alias("n_passages"), F.array_join(F.col("ps.text"), "\n\n---\n\n").alias("context"))

@@ -1,7 +1,6 @@
 """Descriptive statistics, agreement and rank tests over scores.
 
-Ranks come from counts of the distinct values, which are few however many rows there are: no window ever orders all
-rows. Statistics and z are relational; tail probabilities are in ``functions.tails``.
+Ranks come from counts of the distinct values, cut into ranges: no window ever orders all rows or all values. Statistics and z are relational; tail probabilities are in ``functions.tails``.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Window
 TIE = 1e-9
 SCORES = ("base_corr", "sem_corr", "raw_corr", "sem_faith", "raw_faith")
 ALPHA, Z95 = 0.05, 1.959963984540054
+RANGES = 64
 
 
 def long_scores(wide: DataFrame) -> DataFrame:
@@ -29,11 +29,23 @@ def described(scores: DataFrame, *keys: str) -> DataFrame:
 
 
 def value_ranks(values: DataFrame, *groups: str) -> DataFrame:
-    """``groups, value, t, rank``: how often each value is there and its mean rank within its group."""
-    counts = values.groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("t"))
-    order = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("t").over(order.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("t") + 1) / 2)
+    """``groups, value, t, rank``: how often each value is there and its mean rank within its group.
+
+    The values are cut into ranges at their approximate quantiles. Ranks are counted within a range and raised by the
+    totals of the ranges before it, at most ``RANGES`` rows of each group, so that no task orders all values.
+    """
+    counts = values.where("value IS NOT NULL").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("t"))
+    edges = counts.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10_000).alias("edges"))
+    ranged = counts.join(F.broadcast(edges), F.lit(True)).withColumn("range", F.size(F.filter("edges", lambda edge: edge < F.col("value")))).drop("edges")
+    totals = ranged.groupBy(*groups, "range").agg(F.sum("t").alias("total"))
+    until = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(g).alias(f"{g}_") for g in groups), F.col("range").alias("range_"), F.coalesce(F.sum("total").over(until), F.lit(0)).alias("offset"))
+    same = F.col("range") == F.col("range_")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    own = Window.partitionBy(*groups, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("within", F.coalesce(F.sum("t").over(own), F.lit(0)))
+    return within.join(offsets, same).select(*groups, "value", "t", (F.col("offset") + F.col("within") + (F.col("t") + 1) / 2).alias("rank"))
 
 
 def wilcoxon(wide: DataFrame, x: str, y: str, *groups: str) -> DataFrame:

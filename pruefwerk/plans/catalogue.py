@@ -175,8 +175,7 @@ def claims_flat(spark, sf_dir):
 
 def _faithful(spark, sf_dir):
     answers = table(spark, sf_dir, "answers").where("system <> 'baseline'")
-    judged = evaluation.judged_claims(answers, "answer_id", "answer", "retrieved_context")
-    return judged.join(answers.select("answer_id", "system", "question_type"), "answer_id")
+    return evaluation.judged_claims(answers, "answer_id", "answer", "retrieved_context", "system", "question_type")
 
 
 @query
@@ -203,7 +202,7 @@ def category_distribution(spark, sf_dir):
 
 @query
 def likert_scores(spark, sf_dir):
-    return _rounded(evaluation.likert(table(spark, sf_dir, "evaluation_results").distinct()))
+    return _rounded(evaluation.likert(table(spark, sf_dir, "evaluation_results", "eval_id", "raw_scores").distinct()))
 
 
 @query
@@ -257,7 +256,7 @@ def spearman_modes(spark, sf_dir):
 
 
 def _votes(spark, sf_dir):
-    votes = table(spark, sf_dir, "evaluation_results").where("size(raw_scores) >= 2").distinct()
+    votes = table(spark, sf_dir, "evaluation_results", "eval_id", "system", "raw_scores").where("size(raw_scores) >= 2").distinct()
     return votes.select("system", F.col("raw_scores")[0].alias("a"), F.col("raw_scores")[1].alias("b"))
 
 
@@ -302,7 +301,7 @@ def power_mdes(spark, sf_dir):
 
 @query
 def bootstrap_means(spark, sf_dir):
-    return bootstrap.bootstrap_mean(S.long_scores(_wide(spark, sf_dir)), "measure", "question_id", "score")
+    return bootstrap.bootstrap_mean(S.long_scores(_wide(spark, sf_dir)), "measure", "score")
 
 
 @query

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions.text import MATERIAL_WORDS, SCRIPT_WORDS
+#: What names the script, and what names its material.
+SCRIPT_WORDS = (
+    r"(?:im|laut|gemäß|nach|aus dem|im bereitgestellten) Skript|(?:in|laut|gemäß|nach) der Vorlesung|(?:auf|gemäß|laut) Seite\s*\d+"
+    r"|im (?:Quelltext|Quellmaterial|Originaltext|bereitgestellten Text)|wie im Skript|des Skripts?"
+    r"|Skript-(?:spezifisch|spezifische[rnms]?|Notation|Methode|Konvention|Inhalt|Vorlage)"
+)
+MATERIAL = r"(?:[A-Za-zÄÖÜäöüß]+-?)?(?:Tabelle|Formel|Abbildung|Diagramm|Analyse|Methode|Notation|Schaltung|Darstellung|Grafik|Übersicht|Beschreibung)"
+MATERIAL_WORDS = (
+    r"(?:in|laut|gemäß|nach|anhand|mit|aus) der (?:gegebenen |angegebenen |dargestellten |gezeigten |verwendeten |beschriebenen |spezifizierten |oben(?:stehenden|genannten)? |unten(?:stehenden|genannten)? )?"
+    + MATERIAL + r"|wie (?:sie |er |es |dies )?(?:in der|im) " + MATERIAL + r"|in der Form,? die in der (?:Analyse|Tabelle|Beschreibung)"
+)
 
 B = r"[ \t\n\x0B\f\r]"
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def call_stream(spark: SparkSession, directory: str, schema) -> DataFrame:
-    """Calls as they are appended to the Parquet or JSON files of a folder."""
-    return spark.readStream.schema(schema).parquet(directory)
+def call_stream(spark: SparkSession, directory: str, schema, form: str = "parquet") -> DataFrame:
+    """Calls as they are appended to the files of a folder: ``json`` as the engine's own log, or ``parquet``."""
+    return spark.readStream.schema(schema).format(form).load(directory)
 
 
 def windowed_usage(calls: DataFrame, late: str = "4 days", length: str = "1 hour") -> DataFrame:

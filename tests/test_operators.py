@@ -125,9 +125,9 @@ def test_tails():
 def test_bootstrap_and_samples(spark):
     rnd = random.Random(0)
     df = spark.createDataFrame([(i, "g", rnd.gauss(0.5, 0.1)) for i in range(400)], "id bigint, m string, v double")
-    r = bootstrap.bootstrap_mean(df, "m", "id", "v", 400).first()
+    r = bootstrap.bootstrap_mean(df, "m", "v", 400).first()
     assert r.low < r.mean < r.high and r.high - r.low < 0.05
-    again = bootstrap.bootstrap_mean(df.repartition(3), "m", "id", "v", 400).first()
+    again = bootstrap.bootstrap_mean(df.repartition(3), "m", "v", 400).first()
     assert again.low == pytest.approx(r.low) and again.high == pytest.approx(r.high)
     assert sampling.random_sample(df, "id", 15).select("id").collect() == sampling.random_sample(df.repartition(5), "id", 15).select("id").collect()
     assert sampling.stratified_sample(df, "m", "id", 10).count() == 10
