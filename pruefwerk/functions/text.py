@@ -87,6 +87,11 @@ def page_marker(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, r"(?m)^###\s+Seite\s+(\d+)\b", 1), F.lit("")).cast("int")
 
 
+def any_page_marker(content: Column) -> Column:
+    """The number of the first page marker, also within a line; what a canonical context goes by."""
+    return F.nullif(F.regexp_extract(content, r"### Seite (\d+)", 1), F.lit("")).cast("int")
+
+
 def reference_ends(reference: Column) -> tuple[Column, Column]:
     """First and last chunk id of a source reference; empty where it is none."""
     return tuple(F.regexp_extract(reference, r"^(chunk_\d+)_to_(chunk_\d+)", i) for i in (1, 2))

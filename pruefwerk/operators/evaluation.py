@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANKS, page_marker, reference_ends
+from ..functions.text import BLANKS, any_page_marker, reference_ends
 
 SYSTEMS = ("baseline", "rag_semantic", "rag_raw")
 OVERLAP_SHARE = 0.6
@@ -19,13 +19,17 @@ def last_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def aligned(answers: DataFrame) -> DataFrame:
-    """``question_id`` and the answers of all three systems, where all have one; of repeated runs the last."""
-    last = last_per_key(answers.select("question_id", "system", "answer_id", "answer", "retrieved_context", "answered_at"), ["question_id", "system"], "answered_at", "answer_id")
+    """A row for each baseline answer with the last answers of the other systems to its question, where all have one.
+
+    Repeated runs of the baseline stay rows of their own.
+    """
+    own = answers.select("question_id", "system", "answer_id", "answer", "answered_at")
+    last = last_per_key(own.where(F.col("system").isin(*SYSTEMS[1:])), ["question_id", "system"], "answered_at", "answer_id")
     of = lambda system, column: F.max(F.when(F.col("system") == system, F.col(column)))
-    wide = last.groupBy("question_id").agg(
-        F.countDistinct("system").alias("n_systems"), *(of(s, "answer_id").alias(f"{s}_id") for s in SYSTEMS), *(of(s, "answer").alias(f"{s}_answer") for s in SYSTEMS)
-    )
-    return wide.where(F.col("n_systems") == len(SYSTEMS)).drop("n_systems")
+    others = last.groupBy("question_id").agg(*(of(s, c).alias(f"{s}_{n}") for s in SYSTEMS[1:] for c, n in (("answer_id", "id"), ("answer", "answer"))))
+    base = own.where(F.col("system") == SYSTEMS[0]).select("question_id", F.col("answer_id").alias("baseline_id"), F.col("answer").alias("baseline_answer"))
+    joined = base.join(others.where(" AND ".join(f"{s}_id IS NOT NULL" for s in SYSTEMS[1:])), "question_id")
+    return joined.select("question_id", *(f"{s}_id" for s in SYSTEMS), *(f"{s}_answer" for s in SYSTEMS))
 
 
 def missing_systems(answers: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def canonical_context(references: DataFrame, chunks: DataFrame, pages: DataFrame
     """
     first, last = reference_ends(F.col("source_reference"))
     ends = references.select("key", "script_id", first.alias("first_id"), last.alias("last_id")).where("first_id <> ''")
-    page = chunks.select("script_id", "chunk_id", F.coalesce("page_number", page_marker(F.col("content"))).alias("page"))
+    page = chunks.select("script_id", "chunk_id", F.coalesce("page_number", any_page_marker(F.col("content"))).alias("page"))
     start = page.select("script_id", F.col("chunk_id").alias("first_id"), F.col("page").alias("first_page"))
     end = page.select("script_id", F.col("chunk_id").alias("last_id"), F.col("page").alias("last_page"))
     spans = ends.join(start, ["script_id", "first_id"]).where("first_page IS NOT NULL").join(end, ["script_id", "last_id"], "left")

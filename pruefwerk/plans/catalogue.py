@@ -318,7 +318,7 @@ def pvalue_corrections(spark, sf_dir):
 def sample_review(spark, sf_dir):
     """Of the questions that all systems answered, the share that the reference gives to a person to review."""
     questions = evaluation.aligned(table(spark, sf_dir, "answers"))
-    return sampling.random_share(questions, "question_id", sampling.review_size)
+    return sampling.random_share(questions, "baseline_id", sampling.review_size)
 
 
 @query

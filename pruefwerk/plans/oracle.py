@@ -71,7 +71,7 @@ PAGES = """
 pages AS (SELECT * FROM pages_raw QUALIFY row_number() OVER (PARTITION BY script_id, page_number ORDER BY extracted_at DESC, page_id DESC) = 1),
 images AS (SELECT *, array_to_string(list_transform(list_filter(image_descriptions, lambda x: x IS NOT NULL AND x <> ''), lambda x: '[BILD-INFO: ' || x || ']'), chr(10) || chr(10)) AS described FROM pages),
 page_text AS (SELECT script_id, page_number, CASE WHEN coalesce(len(image_descriptions), 0) = 0 THEN coalesce(text, '') WHEN coalesce(text, '') = '' THEN described ELSE text || chr(10) || chr(10) || described END AS page_text FROM images),
-c AS (SELECT script_id, chunk_id, coalesce(page_number, nullif(regexp_extract(content, '(?m)^###\\s+Seite\\s+(\\d+)\\b', 1), '')::INT) AS page FROM chunks WHERE mode = 'semantic'),
+c AS (SELECT script_id, chunk_id, coalesce(page_number, nullif(regexp_extract(content, '### Seite (\\d+)', 1), '')::INT) AS page FROM chunks WHERE mode = 'semantic'),
 refs AS (SELECT golden_id, script_id, regexp_extract(source_reference, '^(chunk_\\d+)_to_(chunk_\\d+)', 1) AS f, regexp_extract(source_reference, '^(chunk_\\d+)_to_(chunk_\\d+)', 2) AS l FROM golden WHERE source_reference IS NOT NULL),
 spans AS (SELECT golden_id, refs.script_id, greatest(1, a.page - 1) AS lo, coalesce(b.page, a.page) + 1 AS hi FROM refs JOIN c a ON a.script_id = refs.script_id AND a.chunk_id = f LEFT JOIN c b ON b.script_id = refs.script_id AND b.chunk_id = l WHERE a.page IS NOT NULL AND f <> ''),
 ctx AS (SELECT golden_id, count(*) AS n_pages, string_agg(page_text, chr(10) || chr(10) ORDER BY page_number) AS context FROM spans JOIN page_text p ON p.script_id = spans.script_id AND p.page_number BETWEEN lo AND hi GROUP BY golden_id)
@@ -97,6 +97,9 @@ e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM em
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) / (a.n * b.n) AS similarity FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 nb AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank, vec_id, similarity FROM s QUALIFY rank <= 8)
 """
+LAST = "SELECT * FROM answers WHERE system = '{0}' QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY answered_at DESC, answer_id DESC) = 1"
+ALIGNED = f"""SELECT b.question_id, b.answer_id AS baseline_id, s.answer_id AS rag_semantic_id, r.answer_id AS rag_raw_id, b.answer AS baseline_answer, s.answer AS rag_semantic_answer, r.answer AS rag_raw_answer
+FROM answers b JOIN ({LAST.format('rag_semantic')}) s ON s.question_id = b.question_id JOIN ({LAST.format('rag_raw')}) r ON r.question_id = b.question_id WHERE b.system = 'baseline'"""
 CALLS = "calls AS (SELECT DISTINCT * REPLACE (lower(trim(status)) AS status) FROM api_calls)"
 WILSON = """(n_c / n::DOUBLE + 1.959963984540054 ^ 2 / (2 * n)) / (1 + 1.959963984540054 ^ 2 / n) {0}
 1.959963984540054 * sqrt(n_c / n::DOUBLE * (1 - n_c / n::DOUBLE) / n + 1.959963984540054 ^ 2 / (4.0 * n * n)) / (1 + 1.959963984540054 ^ 2 / n)"""
@@ -123,7 +126,7 @@ SELECT * FROM a WHERE description IS NOT NULL AND trim(description) NOT IN ('',
     "image_dedup": """WITH a AS (SELECT page_id, unnest(range(len(image_descriptions)))::INT AS position, unnest(image_descriptions) AS description FROM pages_raw WHERE image_descriptions IS NOT NULL),
 b AS (SELECT *, sha256(description) AS hash FROM a WHERE description IS NOT NULL AND trim(description) NOT IN ('', 'KEINE_INFO', 'KEINE_GRAFIK'))
 SELECT hash, page_id, position, count(*) OVER (PARTITION BY hash) AS n FROM b QUALIFY row_number() OVER (PARTITION BY hash ORDER BY page_id, position) = 1""",
-    "token_estimate": "SELECT answer_id, floor((coalesce(length(question), 0) + coalesce(length(left(retrieved_context, 1500)), 0)) / 4::DOUBLE * 1.2::DOUBLE)::BIGINT + 1200 AS tokens FROM answers",
+    "token_estimate": "SELECT answer_id, floor((coalesce(length(question), 0) + coalesce(length(retrieved_context), 0)) / 4::DOUBLE * 1.2::DOUBLE)::BIGINT + 1200 AS tokens FROM answers",
     "raw_chunks": rf"""WITH p AS (SELECT page_id, list_filter(string_split_regex(text, '\n\n+'), lambda x: trim(translate(x, chr(10) || chr(9) || chr(13), '   ')) <> '') AS ps FROM pages_raw WHERE text IS NOT NULL),
 f AS (SELECT page_id, list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur': ''}}, list_transform(ps, lambda x: {{'out': []::VARCHAR[], 'cur': x}})), lambda a, x: {{
 'out': CASE WHEN length(a.cur) + length(x.cur) <= 1200 OR a.cur = '' THEN a.out ELSE list_append(a.out, a.cur) END,
@@ -136,9 +139,7 @@ SELECT page_id, 'raw' AS mode, chunk_index, 'chunk_' || chunk_index AS chunk_id,
 k AS (SELECT script_id, chunk_index AS start, b, list_position(list_transform(b[2:], lambda x: regexp_matches({strip('x.c')}, '^#{{1,2}}\s')), true) AS p FROM a WHERE len(b) = 7 AND chunk_index % 3 = 0 AND b[7].i = chunk_index + 6),
 n AS (SELECT script_id, start, coalesce(nullif(p, 0), 7)::INT AS n_chunks, b FROM k)
 SELECT script_id, start, n_chunks, b[1].id || '_to_' || b[n_chunks].id AS source_reference, {normalized("array_to_string(list_transform(b[1:n_chunks], lambda x: x.c), chr(10) || chr(10))")} AS text FROM n WHERE n_chunks >= 2""",
-    "align_answers": """WITH l AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY question_id, system ORDER BY answered_at DESC, answer_id DESC) = 1)
-SELECT question_id, max(answer_id) FILTER (system = 'baseline') AS baseline_id, max(answer_id) FILTER (system = 'rag_semantic') AS rag_semantic_id, max(answer_id) FILTER (system = 'rag_raw') AS rag_raw_id,
-max(answer) FILTER (system = 'baseline') AS baseline_answer, max(answer) FILTER (system = 'rag_semantic') AS rag_semantic_answer, max(answer) FILTER (system = 'rag_raw') AS rag_raw_answer FROM l GROUP BY question_id HAVING count(DISTINCT system) = 3""",
+    "align_answers": ALIGNED,
     "resume_pending": """SELECT q.question_id, s.system FROM (SELECT DISTINCT question_id FROM answers) q CROSS JOIN (VALUES ('baseline'), ('rag_semantic'), ('rag_raw')) s(system)
 WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.question_id = q.question_id AND a.system = s.system)""",
     "canonical_context": f"WITH {PAGES} SELECT * FROM ctx",
@@ -187,7 +188,8 @@ round(count(*) FILTER (a = label AND b = label) / nullif(count(*) FILTER (b = la
     "pvalue_corrections": f"""WITH {SCORES}, p AS (SELECT question_type AS test, count(*) FILTER (abs(round(sem_corr - raw_corr, 9)) <= 1e-9) / count(*)::DOUBLE AS p FROM w WHERE sem_corr IS NOT NULL AND raw_corr IS NOT NULL AND question_type IS NOT NULL GROUP BY question_type),
 r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, test) AS pos FROM p)
 SELECT test, round(p, 6) AS p, round(least(1.0, p * m), 6) AS bonferroni, round(least(1.0, max((m - pos + 1) * p) OVER (ORDER BY p, test)), 6) AS holm, round(least(1.0, min(m / pos::DOUBLE * p) OVER (ORDER BY p DESC, test DESC)), 6) AS bh FROM r""",
-    "sample_review": "SELECT answer_id, system, md5('42|' || answer_id) AS draw FROM answers ORDER BY draw, answer_id LIMIT 60",
+    "sample_review": f"""WITH q AS ({ALIGNED}), n AS (SELECT count(*) AS n FROM q), d AS (SELECT *, md5('42|' || baseline_id) AS draw, row_number() OVER (ORDER BY md5('42|' || baseline_id), baseline_id) AS pos FROM q)
+SELECT d.* EXCLUDE (pos) FROM d, n WHERE pos <= least(greatest(15, floor(n * 0.3::DOUBLE + 0.999)), n)""",
     "sample_stratified": "SELECT golden_id, question_type, row_number() OVER (PARTITION BY question_type ORDER BY md5('42|' || golden_id), golden_id)::INT AS draw FROM golden WHERE question_type IS NOT NULL QUALIFY draw <= 10",
     "quota_balanced": """SELECT golden_id, question_type, row_number() OVER (PARTITION BY question_type ORDER BY md5('42|' || golden_id), golden_id)::INT AS draw FROM golden
 WHERE requires_context AND question_type IN ('Definition', 'Anwendung', 'Transfer') QUALIFY draw <= CASE question_type WHEN 'Transfer' THEN 16 ELSE 17 END""",

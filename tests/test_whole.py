@@ -25,7 +25,7 @@ def test_sample_review_grows_with_the_questions(spark, tmp_path):
         ids = {r.question_id for r in got}
         assert len(got) == len(ids) == wanted and not any(i.startswith("only") for i in ids)
         drawn = max(r.draw for r in got)
-        assert QUERIES["align_answers"](spark, str(tmp_path / str(n))).where(f"md5(concat('42|', question_id)) <= '{drawn}'").count() == wanted
+        assert QUERIES["align_answers"](spark, str(tmp_path / str(n))).where(f"md5(concat('42|', baseline_id)) <= '{drawn}'").count() == wanted
 
 
 CALLS = "call_id bigint, model string, ts timestamp_ntz, total_tokens int"
