@@ -7,9 +7,12 @@ Method: sequential Bayesian verification of banded candidates.
 
 1. The bag of words is a set of features (word, how often it came before). Exact bags are collapsed to their first
    record, as their similarity to anything is the same.
-2. Min-hash bands over the features whose word isn't common give the candidates. A word is common if it stands in
-   ``COMMON_SHARE`` of all records; there are at most (words of a record) / COMMON_SHARE of them, a number that doesn't
-   grow with the records. Records with hardly any other word are banded over all their features instead.
+2. Min-hash bands give the candidates. A word is common if it stands in ``COMMON_SHARE`` of all records; there are at
+   most (words of a record) / COMMON_SHARE of them, a number that doesn't grow with the records. Of two near copies the
+   common or the uncommon features agree by ``share`` at least, so that there are bands of uncommon rows, of one
+   uncommon and some common rows, and of common rows, the more of them the more texts agree in them by chance. Which of
+   these a record has is decided by the share of its features that are uncommon; records with hardly any uncommon
+   feature are banded over all of them too.
 3. Candidates compare their signatures in batches. After each batch a pair is dropped if the posterior probability
    that its Jaccard similarity reaches the least one of a near copy is under ``MISS``.
 4. What is left is verified exactly on the words of both texts.
@@ -41,18 +44,24 @@ from ..session import cut_lineage
 
 SHARE = Fraction(3, 4)
 COMMON_SHARE, COMMON_LEAST = 0.02, 50
-BANDS, ROWS = 36, 4
+#: Numbers of bands, and of rows over uncommon and over common features in each.
+BANDS = [(24, 4, 0), (12, 1, 6), (8, 0, 12)]
+#: Bands with common rows need this share and number of common features.
+COMMON_BANDED, COMMON_FEATURES = 0.12, 8
+#: Records with a smaller share of uncommon features have bands of so many rows over all features besides.
+FEW_UNCOMMON, ALL_BANDS, ALL_ROWS = 0.125, 24, 4
 SIGNATURE, BATCH = 64, 16
 MISS = 1e-3
-#: Records with fewer uncommon features than the first are banded over all features only, under the second over both.
-FEW, SOME = 4, 7
 
 _WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(1, 2**63, SIGNATURE + 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _RANDOM.integers(0, 2**63, SIGNATURE + 2 * BANDS * ROWS, dtype=np.uint64)
-_BAND_FACTORS = _RANDOM.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SEEDS = _RANDOM.integers(0, 2**63, 2 * BANDS, dtype=np.uint64)
+_UNCOMMON, _COMMON = (sum(band[0] * band[i] for band in BANDS) for i in (1, 2))
+_N_BANDS = sum(n for n, _, _ in BANDS)
+_FUNCTIONS = SIGNATURE + _UNCOMMON + _COMMON + ALL_BANDS * ALL_ROWS
+_FACTORS = _RANDOM.integers(1, 2**63, _FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RANDOM.integers(0, 2**63, _FUNCTIONS, dtype=np.uint64)
+_ROW_FACTORS = _RANDOM.integers(1, 2**63, _FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SEEDS = _RANDOM.integers(0, 2**63, _N_BANDS + ALL_BANDS, dtype=np.uint64)
 
 
 def words(text: str) -> list[str]:
@@ -118,10 +127,29 @@ def _minima(features: np.ndarray, begin: int, end: int) -> np.ndarray:
     return blocks[0] if len(blocks) == 1 else np.min(blocks, axis=0)
 
 
-def _band_keys(features: np.ndarray, family: int, seed: np.uint64) -> np.ndarray:
-    begin = SIGNATURE + family * BANDS * ROWS
-    rows = _minima(features, begin, begin + BANDS * ROWS).reshape(BANDS, ROWS)
-    return _mix((rows * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + _BAND_SEEDS[family * BANDS : (family + 1) * BANDS] + seed)
+def _rows(features: np.ndarray, begin: int, end: int, rows: int) -> np.ndarray:
+    """For each band the sum of its min-hashes, each times a factor of its own, by the functions ``begin`` to ``end``."""
+    return (_minima(features, begin, end) * _ROW_FACTORS[begin:end]).reshape(-1, rows).sum(axis=1, dtype=np.uint64)
+
+
+def _band_keys(features: np.ndarray, is_common: np.ndarray, field: int) -> np.ndarray:
+    """The keys of a record's bands; their lowest eight bits are the code of the field."""
+    common, uncommon = features[is_common], features[~is_common]
+    banded = len(common) >= max(COMMON_FEATURES, COMMON_BANDED * len(features))
+    keys, u, c, at = [], SIGNATURE, SIGNATURE + _UNCOMMON, 0
+    for n, of_uncommon, of_common in BANDS:
+        if (not of_uncommon or len(uncommon)) and (not of_common or banded):
+            key = _BAND_SEEDS[at : at + n].copy()
+            if of_uncommon:
+                key += _rows(uncommon, u, u + n * of_uncommon, of_uncommon)
+            if of_common:
+                key += _rows(common, c, c + n * of_common, of_common)
+            keys.append(key)
+        u, c, at = u + n * of_uncommon, c + n * of_common, at + n
+    if len(uncommon) < FEW_UNCOMMON * len(features):
+        begin = SIGNATURE + _UNCOMMON + _COMMON
+        keys.append(_BAND_SEEDS[at:] + _rows(features, begin, begin + ALL_BANDS * ALL_ROWS, ALL_ROWS))
+    return _mix(np.concatenate(keys)) & ~np.uint64(255) | np.uint64(field)
 
 
 def common_words(records: DataFrame) -> np.ndarray:
@@ -154,11 +182,14 @@ def common_words(records: DataFrame) -> np.ndarray:
 
 
 def signed_records(records: DataFrame, common: np.ndarray) -> DataFrame:
-    """``field, id, bag, n_words, signature, bands`` of the records that have words."""
+    """``field, id, bag, signature, bands`` of the records that have words.
+
+    A signature is the number of words in four bytes and two bytes for each min-hash.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        names = ["field", "id", "bag", "n_words", "signature", "bands"]
+        names = ["field", "id", "bag", "signature", "bands"]
         for batch in batches:
             fields, ids, texts = (column.to_pylist() for column in batch.columns)
             rows: list[tuple] = []
@@ -169,33 +200,27 @@ def signed_records(records: DataFrame, common: np.ndarray) -> DataFrame:
                     continue
                 features = _features(hashed)
                 at = np.searchsorted(common, hashed)
-                known = common[np.minimum(at, len(common) - 1)] == hashed if len(common) else np.zeros(len(hashed), bool)
-                uncommon, seed = features[~known], np.uint64((field + 1) * 0x9E3779B97F4A7C15 % 2**64)
-                keys = [_band_keys(uncommon, 0, seed)] if len(uncommon) >= FEW else []
-                if len(uncommon) < SOME:
-                    keys.append(_band_keys(features, 1, seed))
+                is_common = common[np.minimum(at, len(common) - 1)] == hashed if len(common) else np.zeros(len(hashed), bool)
                 signature = (_minima(features, 0, SIGNATURE) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(48)).astype(np.uint16)
                 bag = hashlib.blake2b(hashed.tobytes(), digest_size=16, salt=bytes([field])).digest()
-                rows.append((field, record, bag, len(hashed), signature.tobytes()))
-                bands.append(np.concatenate(keys).view(np.int64))
+                rows.append((field, record, bag, np.uint32(len(hashed)).tobytes() + signature.tobytes()))
+                bands.append(_band_keys(features, is_common, field).view(np.int64))
             offsets = np.r_[0, np.cumsum([len(x) for x in bands])].astype(np.int32)
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            columns = list(zip(*rows)) or [[]] * 5
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
+            columns = list(zip(*rows)) or [[]] * 4
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])]
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names)
 
-    return records.select("field", "id", "text").mapInArrow(sign, "field int, id bigint, bag binary, n_words int, signature binary, bands array<bigint>")
+    return records.select("field", "id", "text").mapInArrow(sign, "field int, id bigint, bag binary, signature binary, bands array<bigint>")
 
 
-def candidate_pairs(representatives: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """Distinct pairs of representatives that share a band and whose lengths allow a near copy."""
-    rows = representatives.select("field", "id", "n_words", F.explode("bands").alias("band"))
-    a, b = (rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("field", "id", "n_words"))) for side in "ab")
-    near = (F.col("n_words_a") * share.numerator <= F.col("n_words_b") * share.denominator) & (F.col("n_words_b") * share.numerator <= F.col("n_words_a") * share.denominator)
+def candidate_pairs(representatives: DataFrame) -> DataFrame:
+    """Distinct pairs ``field, id_a, id_b`` of representatives that share a band."""
+    rows = representatives.select(F.explode("bands").alias("band"), "id")
     # merge join: a band that many records share is split by the adaptive skew join
-    joined = a.hint("merge").join(b, "band").where((F.col("id_a") < F.col("id_b")) & (F.col("field_a") == F.col("field_b")) & near)
-    return joined.select(F.col("field_a").alias("field"), "id_a", "id_b").distinct()
+    a, b = (rows.select("band", F.col("id").alias(f"id_{side}")) for side in "ab")
+    joined = a.hint("merge").join(b, "band").where("id_a < id_b")
+    return joined.select(F.col("band").bitwiseAND(255).cast("int").alias("field"), "id_a", "id_b").distinct()
 
 
 def _attached(pairs: DataFrame, records: DataFrame, column: str) -> DataFrame:
@@ -206,13 +231,16 @@ def _attached(pairs: DataFrame, records: DataFrame, column: str) -> DataFrame:
 
 
 def likely_pairs(candidates: DataFrame, representatives: DataFrame, share: Fraction = SHARE) -> DataFrame:
-    """Candidates that the sequential comparison of their signatures doesn't drop."""
+    """Candidates whose lengths allow a near copy and that the sequential comparison of their signatures doesn't drop."""
     least = least_matches(float(share / (2 - share)))
 
     @F.pandas_udf(T.BooleanType())
     def stays(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(bytes(v) for v in s), np.uint16).reshape(len(s), SIGNATURE) for s in (a, b))
-        alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+        x, y = (np.frombuffer(b"".join(bytes(v) for v in s), np.uint16).reshape(len(s), SIGNATURE + 2) for s in (a, b))
+        m, n = (np.ascontiguousarray(z[:, :2]).view(np.uint32)[:, 0].astype(np.int64) for z in (x, y))
+        x, y = x[:, 2:], y[:, 2:]
+        alive = np.flatnonzero(np.minimum(m, n) * share.denominator >= np.maximum(m, n) * share.numerator)
+        matches = np.zeros(len(a), np.int64)
         for n, fewest in least:
             batch = slice(n - BATCH, n)
             matches[alive] += (x[alive, batch] == y[alive, batch]).sum(axis=1)
@@ -235,13 +263,13 @@ def verified_pairs(pairs: DataFrame, records: DataFrame, share: Fraction = SHARE
 def near_copies(records: DataFrame, share: Fraction = SHARE) -> tuple[DataFrame, DataFrame]:
     """Members ``field, id, bag, representative`` and links ``field, id_a, id_b`` between representatives.
 
-    ``records`` has ``field INT, id BIGINT, text STRING``, an id once in a field.
+    ``records`` has ``field INT, id BIGINT, text STRING``, an id once in a field; fields are from 0 to 255.
     """
     with_text = records.where(F.col("text").isNotNull())
     signed = cut_lineage(signed_records(with_text, common_words(with_text)))
     by_bag = Window.partitionBy("field", "bag").orderBy("id")
     representatives = signed.withColumn("at", F.row_number().over(by_bag)).where("at = 1").drop("at")
-    links = verified_pairs(likely_pairs(candidate_pairs(representatives, share), representatives, share), with_text, share)
+    links = verified_pairs(likely_pairs(candidate_pairs(representatives), representatives, share), with_text, share)
     first = signed.groupBy("field", "bag").agg(F.min("id").alias("representative"))
     members = signed.select("field", "id", "bag").join(first, ["field", "bag"])
     return members, links

@@ -1,7 +1,10 @@
 import random
 from itertools import combinations
 
-from pruefwerk.llm.neardup import all_pairs, groups, least_matches, near_copies, shares_words
+import numpy as np
+import pytest
+
+from pruefwerk.llm.neardup import _band_keys, _features, all_pairs, groups, least_matches, near_copies, shares_words
 
 SCHEMA = "field int, id bigint, text string, bag string, bands string"
 
@@ -62,3 +65,33 @@ def test_empty(spark):
 def test_bounds_are_those_of_the_posterior():
     for n, fewest in least_matches(0.6):
         assert 0 < fewest < 0.6 * n
+
+
+@pytest.mark.parametrize("overlap", [0.75, 0.8])
+@pytest.mark.parametrize("uncommon", [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
+def test_recall_at_the_bound(uncommon, overlap):
+    """Pairs of 200 words right at the bound, all edits in uncommon words: nine of ten are candidates at least."""
+    rnd, found, n = np.random.default_rng(5), 0, 200
+    for _ in range(300):
+        of_uncommon = round(uncommon * n)
+        edits = min(round((1 - overlap) * n), of_uncommon)
+        words = rnd.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        words[of_uncommon:] += np.uint64(1)  # odd words are common
+        copy = words.copy()
+        copy[:edits] = rnd.integers(0, 2**63, edits, dtype=np.uint64) * np.uint64(2)
+        keys = [_band_keys(_features(np.sort(x)), np.sort(x) % 2 == 1, 0) for x in (words, copy)]
+        found += bool(np.intersect1d(*keys).size)
+    assert found >= 0.9 * 300
+
+
+@pytest.mark.parametrize("uncommon", [0.4, 0.6, 0.8, 1.0])
+def test_recall_at_the_bound_with_edits_everywhere(uncommon):
+    rnd, found, n = np.random.default_rng(7), 0, 200
+    for _ in range(300):
+        words = rnd.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + (rnd.random(n) >= uncommon)
+        copy = words.copy()
+        at = rnd.choice(n, n // 4, replace=False)
+        copy[at] = rnd.integers(0, 2**63, n // 4, dtype=np.uint64) * np.uint64(2) + words[at] % 2
+        keys = [_band_keys(_features(np.sort(x)), np.sort(x) % 2 == 1, 0) for x in (words, copy)]
+        found += bool(np.intersect1d(*keys).size)
+    assert found >= 0.9 * 300
