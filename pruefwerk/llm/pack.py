@@ -28,8 +28,8 @@ from pyspark.sql import Window
 from ..session import cut_lineage
 from .tokenizers import DEFAULT_FOLDER, PATTERN, PretokenCounts
 
-#: Groups of equal lengths are ranked in so many parts, so that a common length isn't ranked by one task.
-RANK_BUCKETS = 64
+#: Items of a common length are ranked in parts of about so many, and meet only the slots of their block of ranks.
+RANKED_TOGETHER, RANK_BLOCK = 20_000, 64
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -95,18 +95,30 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, tokenizers: li
     return texts.mapInArrow(count, schema)
 
 
-def ranked_items(items: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """``items`` with a ``rank`` from 0 among the items of one kind and size, without one task for a common size."""
-    salted = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(buckets)).cast("int"))
-    sizes = salted.groupBy("container_kind", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def ranked_items(items: DataFrame, sizes: DataFrame, together: int = RANKED_TOGETHER) -> DataFrame:
+    """``items`` with a ``rank`` from 0 among the items of one kind and size, without one task for a common size.
+
+    ``sizes`` has ``container_kind, size, n``, at most a row for each length up to the capacity.
+    """
+    buckets = F.ceil(F.col("n") / together)
+    salted = items.join(F.broadcast(sizes), ["container_kind", "size"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), buckets)).drop("n")
+    counts = salted.groupBy("container_kind", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("container_kind", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("container_kind", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = counts.select("container_kind", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("container_kind", "size", "bucket").orderBy("doc_id", "part_no")
     numbered = salted.withColumn("own_rank", F.row_number().over(own) - 1)
     return numbered.join(offsets, ["container_kind", "size", "bucket"]).withColumn("rank", F.col("own_rank") + F.col("offset"))
 
 
-def pack_documents(df: DataFrame, id_column: str, text_column: str, settings: DataFrame, folder: str = DEFAULT_FOLDER, buckets: int = RANK_BUCKETS) -> DataFrame:
+def placed_items(ranked: DataFrame, slots: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
+    """``ranked`` with the slot of each item. Both are cut into blocks of ranks, so that an item of a common size meets
+    the few slots that reach into its block, not all of its size."""
+    of = lambda rank: F.floor(rank / block)
+    reached = slots.withColumn("block", F.explode(F.sequence(of(F.col("from_rank")), of(F.col("to_rank") - 1))))
+    return ranked.withColumn("block", of(F.col("rank"))).join(reached, ["container_kind", "size", "block"]).where("rank >= from_rank and rank < to_rank")
+
+
+def pack_documents(df: DataFrame, id_column: str, text_column: str, settings: DataFrame, folder: str = DEFAULT_FOLDER, together: int = RANKED_TOGETHER) -> DataFrame:
     """``container_kind, doc_id, part_no, n_parts, part_tokens, container_id`` for every document and kind."""
     spark = df.sparkSession
     kinds = [row.asDict() for row in settings.select("container_kind", "tokenizer", "capacity").distinct().collect()]
@@ -126,13 +138,14 @@ def pack_documents(df: DataFrame, id_column: str, text_column: str, settings: Da
 
     capacities = {k["container_kind"]: int(k["capacity"]) for k in kinds}
     histograms: dict[str, dict[int, int]] = {kind: {} for kind in capacities}
-    for kind, length, n in items.where("size > 0").groupBy("container_kind", "size").count().collect():
+    counted = items.where("size > 0").groupBy("container_kind", "size").agg(F.count(F.lit(1)).alias("n")).collect()
+    for kind, length, n in counted:
         histograms[kind][length] = n
     slots = [slot_table(pack_histogram(histograms[kind], capacities[kind])).assign(container_kind=kind) for kind in capacities]
     slot_rows = spark.createDataFrame(pd.concat(slots), "size bigint, from_rank bigint, to_rank bigint, first_container bigint, copies bigint, container_kind string")
 
-    ranked = ranked_items(items.where("size > 0"), buckets)
-    placed = ranked.join(slot_rows, ["container_kind", "size"]).where("rank >= from_rank and rank < to_rank")
+    sizes = spark.createDataFrame(counted, "container_kind string, size bigint, n bigint")
+    placed = placed_items(ranked_items(items.where("size > 0"), sizes, together), slot_rows)
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("copies"))
     columns = ["container_kind", "doc_id", "part_no", "n_parts", F.col("size").alias("part_tokens")]
     full = placed.select(*columns, container.cast("bigint").alias("container_id"))

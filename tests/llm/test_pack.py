@@ -28,7 +28,7 @@ def test_documents(spark):
     texts = [None, "", "Wort " * 5, "Wort " * 5, "Wort " * 5, "Satz eins zwei drei. " * 90, "a"] + ["kurz und gut"] * 200
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "text", "'x' AS size", "0 AS container_kind")
     kinds = spark.createDataFrame([("a", "byte_bpe_50k", 64), ("b", "byte_bpe_multi_50k", 100)], "container_kind string, tokenizer string, capacity int")
-    packed = pack_documents(docs, "doc_id", "text", kinds, buckets=3)
+    packed = pack_documents(docs, "doc_id", "text", kinds, together=50)
     rows = packed.collect()
     for kind, name, capacity in [("a", "byte_bpe_50k", 64), ("b", "byte_bpe_multi_50k", 100)]:
         own = [r for r in rows if r.container_kind == kind]
