@@ -1,13 +1,15 @@
 """Problem 4: text from scanned pages as continuous readable paragraphs, with the traces that were in it.
 
-Method: lines at the page edges that recur within a script, compared by what character recognition leaves alike, are
-running headers; numbers there that keep one distance from the page number are printed page numbers. Both are taken
+Method: lines at the page edges that recur within a script are running headers. They are compared by what character
+recognition leaves alike, and beyond that by edit distance from the majority of each character, so that a header that is
+garbled on every page is found as well. Numbers there that keep one distance from the page number are printed page numbers. Both are taken
 out, and the remaining lines are joined by rules over the vocabulary of the corpus: a word divided at a line end is
 put together if the whole corpus knows it in one piece, and a word that only few places have is a misreading if it
 looks, to character recognition, like a frequent one.
 
-All counts are over all pages and chunks. To the workers go the frequent words, at most ``1 / WORD_SHARE`` of them,
-and the furniture of the scripts: a row for each script, sent to all workers only where there are few scripts.
+All counts are over all pages and chunks. To the workers go the frequent words, at most ``1 / WORD_SHARE`` of them, as
+sorted hashes and one block of characters (under 40 MB at that bound), and the furniture of the scripts: a row for each
+script, sent to all workers only where there are few scripts.
 
 ``hyphenation``, ``misread``, ``running_header`` and ``page_number`` are the kinds of traces.
 
@@ -18,11 +20,12 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,12 @@ FURNITURE_SHARE, FURNITURE_LEAST = 0.1, 3
 TOP_LINES, BOTTOM_LINES = 2, 3
 #: Furniture of more scripts than this is joined by a shuffle instead of being sent to all workers.
 BROADCAST_SCRIPTS = 20_000
+#: A header that no two pages spell alike counts from this share of the pages on, and at least so many pages.
+GARBLED_SHARE, GARBLED_LEAST = 0.3, 4
+#: Letters of a key in each of the four pieces by which garbled headers are brought together.
+PIECE = 6
+#: Two keys are one header if they differ by one edit in so many letters.
+EDIT_EVERY = 8
 
 #: What characters look like; those with equal images are confused.
 _LOOKS = str.maketrans({
@@ -54,7 +63,10 @@ _NUMBER = r"(?:(?:seite|blatt|page|s\.|p\.|bl\.)\s*)?\d{1,5}(?:\s*(?:/|von|of)\s
 _NUMBER_LINE = re.compile(rf"^\s*([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)\s*$", re.I)
 _NUMBER_BESIDE = re.compile(rf"^\s*([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)(?:\s{{2,}}|\t|\s*\|\s*)(\S.*?)\s*$|^\s*(\S.*?)(?:\s{{2,}}|\t|\s*\|\s*)([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)\s*$", re.I)
 _NUMBERED_TITLE = re.compile(r"^\s*([^\W\d_]{3,20})\s+(?:\d{1,3}|[IVXL]{1,6})\s*[:.–-]\s*\S")
-_TAIL = re.compile(r"([^\W\d_]+)([-‐­¬])\s*$")
+_SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
+_WIDE = re.compile(r"\s{3,}")
+#: Letters that a page number with its words has at most, as images.
+_NUMBER_LETTERS = 40
 _MARKS = ("-", "‐", "\u00ad", "¬")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
 _KEPT_LINE = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\||#{1,6}\s|```|\d+(?:\.\d+)+\s)")
@@ -72,6 +84,7 @@ def line_parts(line: str) -> tuple[str, int | None, str, str | None]:
 
     The title of a chapter stands on the pages of that chapter only; its kind, as in "Chapter 3:", on all of them.
     """
+    line = _WIDE.sub("  ", line)
     plain = _NUMBER_LINE.match(line)
     if plain:
         number, words = plain.group(1), ""
@@ -83,7 +96,7 @@ def line_parts(line: str) -> tuple[str, int | None, str, str | None]:
             number, words = "", line
     key = looks("".join(_WORD.findall(words.lower())))
     digits = re.search(r"\d+", number)
-    title = _NUMBERED_TITLE.match(words)
+    title = None if _SENTENCE_END.search(words) else _NUMBERED_TITLE.match(words)
     style = re.sub(r"\d+", "#", re.sub(r"\s+", " ", number.strip()))
     return key, int(digits.group()) if digits else None, style, f"{looks(title.group(1).lower())} #" if title else None
 
@@ -103,11 +116,10 @@ def edge_lines(pages: DataFrame) -> DataFrame:
             for script, page, text in zip(*(column.to_pylist() for column in batch.columns)):
                 lines = text.split("\n")
                 for i in edges(lines):
-                    if len(lines[i]) <= 120:
-                        *parts, title = line_parts(lines[i])
-                        rows.append((script, page, *parts))
-                        if title:
-                            rows.append((script, page, title, None, ""))
+                    *parts, title = line_parts(lines[i])
+                    rows.append((script, page, *parts))
+                    if title:
+                        rows.append((script, page, title, None, ""))
             columns = list(zip(*rows)) or [[]] * 5
             types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["script_id", "page_number", "key", "number", "style"])
@@ -116,15 +128,43 @@ def edge_lines(pages: DataFrame) -> DataFrame:
     return known.mapInArrow(read, "script_id string, page_number int, key string, number bigint, style string")
 
 
+def garbled_headers(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """``script_id, key`` of headers that hardly two pages spell alike.
+
+    ``keys`` has ``script_id, key, n``, ``pages`` the ``least`` number of pages for each script. Keys with a piece in
+    common are brought together, the majority of each of their letters is the header, and it counts if enough pages have
+    a key at most one edit in ``EDIT_EVERY`` letters away from it.
+    """
+    size = F.length("key")
+    places = [(0, F.lit(1)), (1, F.lit(PIECE + 1)), (2, size - 2 * PIECE + 1), (3, size - PIECE + 1)]
+    pieces = F.array(*(F.struct(F.lit(i).alias("place"), F.substring(F.col("key"), at, F.lit(PIECE)).alias("piece")) for i, at in places))
+    group = ["script_id", "place", "piece"]
+    apart = keys.where(size >= 2 * PIECE).select("script_id", "key", "n", F.inline(pieces))
+    together = apart.groupBy(*group).agg(F.sum("n").alias("n_pages"), F.count(F.lit(1)).alias("n_keys"))
+    candidates = together.join(pages, "script_id").where("n_keys > 1 AND n_pages >= least").select(*group, "least")
+    lengths = apart.join(candidates, group).groupBy(*group, "least", size.alias("length")).agg(F.sum("n").alias("m"))
+    usual = lengths.groupBy(*group, "least").agg(F.max_by("length", F.struct("m", "length")).alias("length"))
+    members = apart.join(usual, group)
+    letters = members.where(size == F.col("length")).select(*group, "n", F.posexplode(F.split("key", "")).alias("at", "letter"))
+    votes = letters.groupBy(*group, "at", "letter").agg(F.sum("n").alias("m")).groupBy(*group, "at").agg(F.max_by("letter", F.struct("m", "letter")).alias("letter"))
+    spelled = votes.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "letter")))["letter"], "").alias("header"))
+    most = F.greatest(F.lit(1), F.floor(F.length("header") / EDIT_EVERY).cast("int"))
+    near = members.join(spelled, group).where((F.abs(size - F.length("header")) <= most) & (F.levenshtein("key", "header") <= most))
+    return near.groupBy(*group, "least", "header").agg(F.sum("n").alias("m")).where("m >= least").select("script_id", F.col("header").alias("key")).distinct()
+
+
 def furniture(pages: DataFrame) -> DataFrame:
     """For each script its header keys and the style, distance and range of its page numbers."""
     lines = cut_lineage(edge_lines(pages))
     by_script = pages.where("script_id IS NOT NULL").groupBy("script_id").agg(
         F.countDistinct("page_number").alias("n_pages"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page")
     )
-    recurring = lines.where("length(key) BETWEEN 5 AND 120").groupBy("script_id", "key").agg(F.countDistinct("page_number").alias("n"))
-    often = F.col("n") >= F.greatest(F.lit(FURNITURE_LEAST), FURNITURE_SHARE * F.col("n_pages"))
-    headers = recurring.join(by_script, "script_id").where(often).groupBy("script_id").agg(F.array_sort(F.collect_list("key")).alias("headers"))
+    least = by_script.select("script_id", F.greatest(F.lit(FURNITURE_LEAST), FURNITURE_SHARE * F.col("n_pages")).alias("least"))
+    counted = cut_lineage(lines.where("length(key) >= 5").groupBy("script_id", "key").agg(F.countDistinct("page_number").alias("n")).join(least, "script_id"))
+    rare = counted.where("n < least").select("script_id", "key", "n")
+    garbled = by_script.select("script_id", F.greatest(F.lit(GARBLED_LEAST), GARBLED_SHARE * F.col("n_pages")).alias("least"))
+    every = counted.where("n >= least").select("script_id", "key").unionByName(garbled_headers(rare, garbled)).distinct()
+    headers = every.groupBy("script_id").agg(F.array_sort(F.collect_list("key")).alias("headers"))
     distances = lines.where("number IS NOT NULL AND page_number IS NOT NULL").groupBy(
         "script_id", "style", (F.col("number") - F.col("page_number")).cast("int").alias("distance")
     ).agg(F.countDistinct("page_number").alias("n"))
@@ -137,23 +177,65 @@ def furniture(pages: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class Vocabulary:
-    """The frequent words of a corpus and what they look like."""
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
 
-    known: frozenset[str] = frozenset()
-    by_looks: dict[str, str] = field(default_factory=dict)
+class Vocabulary:
+    """The frequent words of a corpus and what they look like, as sorted hashes beside one block of characters."""
+
+    def __init__(self, known=(), by_looks: dict[str, str] | None = None):
+        self.hashes = np.sort(np.fromiter(map(_hash, known), np.uint64))
+        alike = sorted((_hash(image), word) for image, word in (by_looks or {}).items())
+        self.images = np.array([h for h, _ in alike], np.uint64)
+        self.ends = np.cumsum([len(word) for _, word in alike], dtype=np.int64)
+        self.letters = "".join(word for _, word in alike)
+        self._memo = _Memo(self)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_memo": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._memo = _Memo(self)
+
+    @property
+    def knows(self) -> dict[str, bool]:
+        """Whether a lower-case word is frequent, for any word."""
+        return self._memo
+
+    def alike(self, word: str) -> str | None:
+        """The frequent word that a lower-case word looks like."""
+        own = np.uint64(_hash(looks(word)))
+        at = int(np.searchsorted(self.images, own))
+        return self.letters[self.ends[at - 1] if at else 0 : self.ends[at]] if at < len(self.images) and self.images[at] == own else None
 
     def reading(self, word: str) -> str | None:
         """The frequent word that a lower-case word is or looks like."""
-        return word if word in self.known else self.by_looks.get(looks(word))
+        return word if self.knows[word] else self.alike(word)
+
+
+class _Memo(dict):
+    """What a vocabulary said of the words seen; emptied at ``most``."""
+
+    def __init__(self, words: Vocabulary, most: int = 200_000):
+        super().__init__()
+        self.hashes, self.most = words.hashes, most
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= self.most:
+            self.clear()
+        own = np.uint64(_hash(word))
+        at = int(np.searchsorted(self.hashes, own))
+        known = self[word] = at < len(self.hashes) and bool(self.hashes[at] == own)
+        return known
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, looks, n`` of all words of letters, those at line ends left out, as they may be divided."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = re.compile(r"[^\W\d_]{2,40}(?![^\W_]|[-‐­¬]\s*\n)")
+        inner = re.compile(r"[^\W\d_]{2,}(?![^\W_]|[-‐­¬]\s*\n)")
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -182,7 +264,7 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     ranked = frequent.withColumn("most", F.max("n").over(alike)).where(F.col("n") >= MISREAD_SHARE * F.col("most"))
     rows = ranked.select("word", "looks", "n").collect()
     best = {row["looks"]: row["word"] for row in sorted(rows, key=lambda row: (row["n"], row["word"]))}
-    return Vocabulary(frozenset(row["word"] for row in rows), best)
+    return Vocabulary((row["word"] for row in rows), best)
 
 
 def close(a: str, b: str, most: int) -> bool:
@@ -200,19 +282,23 @@ def close(a: str, b: str, most: int) -> bool:
 
 
 def is_header(key: str, title: str | None, headers: list[str]) -> bool:
-    return title in headers or len(key) >= 5 and any(key == h or close(key, h, max(1, len(h) // 8)) for h in headers)
+    return title in headers or len(key) >= 5 and any(key == h or close(key, h, max(1, len(h) // EDIT_EVERY)) for h in headers)
 
 
 def without_furniture(lines: list[str], page: int | None, script: dict, whole_page: bool) -> tuple[list[str], set[str]]:
     """The lines that aren't furniture, and the kinds of furniture that were there."""
     kinds: set[str] = set()
     headers, style = script["headers"] or [], script["style"]
+    longest = max(map(len, headers), default=0)
+    longest += longest // EDIT_EVERY + 1 + _NUMBER_LETTERS
     places = edges(lines) if whole_page else range(len(lines))
     dropped = set()
     for i in places:
         line = lines[i]
-        if not line.strip() or len(line) > 120:
+        if not line.strip():
             continue
+        if len(line) > longest and not _NUMBERED_TITLE.match(line) and len(looks("".join(_WORD.findall(line.lower())))) > longest:
+            continue  # more letters than any header with a number
         key, number, found_style, title = line_parts(line)
         if key:
             if headers and is_header(key, title, headers):
@@ -245,6 +331,14 @@ def divides(head: str, mark: str, tail: str, words: Vocabulary) -> bool:
     return not (words.reading(tail.lower()) and words.reading(head.lower()))
 
 
+def _word_begin(line: str) -> int:
+    """Where the word of letters begins that stands before the last sign of a line."""
+    at = len(line) - 1
+    while at and line[at - 1].isalpha():
+        at -= 1
+    return at
+
+
 def paragraphs(lines: list[str], words: Vocabulary) -> tuple[str, bool]:
     """Lines joined to paragraphs, and whether a divided word was among them."""
     out: list[str] = []
@@ -262,12 +356,14 @@ def paragraphs(lines: list[str], words: Vocabulary) -> tuple[str, bool]:
             if out and out[-1]:
                 out.append("")
             continue
-        tail = _TAIL.search(out[-1], max(0, len(out[-1]) - 80)) if out and out[-1][-1:] in _MARKS else None
-        head = _HEAD.match(text) if tail else None
-        if tail and head and not broken:
-            if divides(tail.group(1), tail.group(2), head.group(1), words):
+        mark = out[-1][-1:] if out and not broken else ""
+        begin = _word_begin(out[-1]) if mark and mark in _MARKS else 0
+        word = out[-1][begin:-1] if mark and mark in _MARKS else ""
+        head = _HEAD.match(text) if word else None
+        if head:
+            if divides(word, mark, head.group(1), words):
                 divided = True
-                out[-1] = out[-1][: tail.start(2)] + text.lstrip()
+                out[-1] = out[-1][:-1] + text.lstrip()
             else:
                 out[-1] = out[-1] + ("" if not head.group(1)[0].islower() else " ") + text.lstrip()
         elif not out or broken or not out[-1] or _KEPT_LINE.match(text) or _KEPT_LINE.match(out[-1]) or "  " in text.strip():
@@ -300,14 +396,14 @@ def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
         nonlocal found
         word = match.group()
         lower = word.lower()
-        if lower in words.known or len(word) < 3 or word.isdigit():
+        if len(word) < 3 or word.isdigit() or words.knows[lower]:
             return word
         letters = sum(map(str.isalpha, word))
         if letters < 2 or letters * 2 < len(word):
             return word
-        reading = words.by_looks.get(looks(lower))
+        reading = words.alike(lower)
         if reading is None or len(reading) < 3:
-            found = found or len(word) < 40 and bool(_DIGIT_INSIDE.search(word))
+            found = found or bool(_DIGIT_INSIDE.search(word))
             return word
         found = True
         return reading.upper() if len(word) > 1 and word.isupper() else reading[0].upper() + reading[1:] if word[0].isupper() or word[0].isdigit() and match.start() == 0 else reading
@@ -316,8 +412,8 @@ def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
     for i in range(0, len(parts), 2):
         part = _LETTER_SPACED.sub(joined, parts[i])
         # most parts have only known words; only those that don't are gone through word by word
-        unknown = set(_WORD.findall(part.lower())) - words.known
-        if any(len(word) > 2 and not word.isdigit() for word in unknown):
+        known = words.knows
+        if any(not known[word] and len(word) > 2 and not word.isdigit() for word in set(_WORD.findall(part.lower()))):
             part = _WORD.sub(put_right, part)
         parts[i] = part
     return "".join(parts), found

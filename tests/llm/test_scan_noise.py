@@ -1,6 +1,6 @@
 import random
 
-from pruefwerk.llm.scan_noise import Vocabulary, corrected, line_parts, looks, paragraphs, repair
+from pruefwerk.llm.scan_noise import Vocabulary, corrected, furniture, is_header, line_parts, looks, paragraphs, repair, without_furniture
 
 BODY = "Das Register speichert einen Wert und die Steuerung liest ihn wieder aus. Der Vergleich der beiden Werte dauert einen Takt."
 WORDS = Vocabulary(frozenset(BODY.lower().replace(".", "").split() + ["vergleichswert"]), {looks(w): w for w in BODY.lower().replace(".", "").split()})
@@ -70,3 +70,51 @@ def test_operator(spark):
     assert got["p", 100].text is None and got["p", 101].text == "" and got["p", 102].text == ""
     assert got["c", 200].noise == ["page_number", "running_header"] and got["c", 201].noise == []
     assert repair(df.limit(0), pages.limit(0)).count() == 0
+
+
+def _pages(spark, texts, script="s"):
+    return spark.createDataFrame([(script, i + 1, t) for i, t in enumerate(texts)], "script_id string, page_number int, text string")
+
+
+def _body(rnd, n=6):
+    nouns = ["Register", "Speicher", "Takt", "Knoten", "Baum", "Pfad", "Puffer", "Zähler", "Graph", "Befehl"]
+    return "\n".join(f"{rnd.choice(['Ein', 'Jeder', 'Kein'])} {rnd.choice(nouns)} mit {rnd.randrange(999)} {rnd.choice(nouns)} liest {rnd.choice(nouns)} {rnd.randrange(99)}" for _ in range(n))
+
+
+def test_long_headers(spark):
+    rnd = random.Random(3)
+    title = "Grundlagen der technischen Informatik und ihrer Anwendung in eingebetteten Systemen mit besonderer Rücksicht auf Speicher und Register, Teil zwei von vieren"
+    assert len(title) > 130
+    pages = _pages(spark, [title + "\n" + _body(rnd) for _ in range(20)])
+    assert furniture(pages).first().headers == [line_parts(title)[0]]
+    script = {"headers": [line_parts(title)[0]], "style": None, "distance": None, "first_number": None, "last_number": None}
+    assert without_furniture([title, "Inhalt " * 40], 1, script, True) == (["Inhalt " * 40], {"running_header"})
+
+
+def test_headers_that_are_garbled_on_every_page(spark):
+    rnd = random.Random(4)
+    title, texts = "Einführung in die Rechnerarchitektur", []
+    for _ in range(30):
+        letters = list(title)
+        for at in rnd.sample(range(len(letters)), 2):
+            letters[at] = rnd.choice("xyzjpä")
+        texts.append("".join(letters) + "\n" + _body(rnd))
+    assert len({t.split("\n")[0] for t in texts}) == 30
+    headers = furniture(_pages(spark, texts)).first().headers
+    found = [is_header(line_parts(t.split("\n")[0])[0], None, headers) for t in texts]
+    assert sum(found) >= 27 and not any(is_header(line_parts(line)[0], None, headers) for t in texts for line in t.split("\n")[1:])
+
+
+def test_sentences_that_begin_alike_are_no_headers(spark):
+    rnd = random.Random(5)
+    texts = ["Eine Verletzung dieser Regel erkennt man daran, dass " + _body(rnd, 1) + ".\n" + _body(rnd) for _ in range(12)]
+    assert furniture(_pages(spark, texts)).first().headers == []
+
+
+def test_words_and_lines_of_any_length():
+    long = "donaudampfschifffahrtselektrizitätenhauptbetriebswerk"
+    words = Vocabulary([long, "der", "bau"], {looks(long): long})
+    assert len(long) > 45 and paragraphs(["Der Bau " * 40 + long[:25] + "-", long[25:]], words) == ("Der Bau " * 40 + long, True)
+    assert corrected(long.replace("u", "v", 1), words) == (long, True)
+    assert corrected("ab" * 30 + "1" + "cd" * 5, words)[1]
+    line_parts("| " * 5000 + " " * 20000 + "x")  # at once
