@@ -104,4 +104,18 @@ P5_RATES = f"""{P5}, every AS (SELECT kind, made_by, count(*) AS n_records FROM
 bad AS (SELECT kind, made_by, count(*) AS n FROM p5 GROUP BY kind, made_by)
 SELECT every.kind, every.made_by, n_records, coalesce(n, 0) AS n_truncated, coalesce(n, 0) / n_records::DOUBLE AS share FROM every LEFT JOIN bad ON every.kind = bad.kind AND every.made_by IS NOT DISTINCT FROM bad.made_by"""
 
-ORACLE = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_rates": P5_RATES}
+#: All pairs of records by the words they have in common, with no candidates.
+P2 = r"""
+WITH RECURSIVE src AS (SELECT 'chunks.raw.content' AS field, chunk_uid AS id, content AS text FROM chunks WHERE mode = 'raw' UNION ALL SELECT 'answers.retrieved_context', answer_id, retrieved_context FROM answers),
+bags AS (SELECT field, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM src), counted AS (SELECT field, id, word, count(*) AS n FROM bags GROUP BY ALL),
+sizes AS (SELECT field, id, sum(n) AS n_words FROM counted GROUP BY ALL),
+shared AS (SELECT a.field, a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) AS n FROM counted a JOIN counted b ON a.field = b.field AND a.word = b.word AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT s.field, id_a, id_b FROM shared s JOIN sizes a ON a.field = s.field AND a.id = id_a JOIN sizes b ON b.field = s.field AND b.id = id_b WHERE 4 * n >= 3 * greatest(a.n_words, b.n_words)),
+ends AS (SELECT field, id_a AS id, id_b AS other FROM pairs UNION ALL SELECT field, id_b, id_a FROM pairs),
+reached AS (SELECT field, id, id AS member FROM sizes UNION SELECT r.field, r.id, e.other FROM reached r JOIN ends e ON e.field = r.field AND e.id = r.member)
+"""
+P2_FOUND = f"{P2} SELECT field, id_a, id_b FROM pairs"
+P2_GROUPS = f"""{P2} SELECT g.field, g.id AS record_id, g.group_id, coalesce(l.n, 0) AS n_links FROM (SELECT field, id, min(member) AS group_id FROM reached GROUP BY ALL) g
+LEFT JOIN (SELECT field, id, count(*) AS n FROM ends GROUP BY ALL) l ON l.field = g.field AND l.id = g.id"""
+
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p5_found": P5_FOUND, "p5_rates": P5_RATES}
