@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.files import append_calls
 
 DIMENSIONS = 64
+EMBEDDED_TOGETHER = 100
 
 
 class Provider(Protocol):
@@ -84,15 +85,33 @@ def completed(df: DataFrame, key: str, prompt: str, make: Callable[[], Provider]
 
 
 def embedded(df: DataFrame, key: str, text: str, make: Callable[[], Provider]) -> DataFrame:
-    """``key, embedding`` of every text, in Arrow batches; null for a null text."""
+    """``key, embedding, error`` of every text, ``EMBEDDED_TOGETHER`` at a time; null for a null text.
+
+    Where texts can't be embedded, they have the error instead, and the others go on.
+    """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for batch in batches:
-            vectors = iter(provider.embed([t for t in batch[text] if t is not None]))
-            yield pd.DataFrame({key: batch[key], "embedding": [None if t is None else next(vectors) for t in batch[text]]})
-
-    return df.select(key, text).mapInPandas(call, f"{key} {dict(df.dtypes)[key]}, embedding array<float>")
+            for begin in range(0, len(batch), EMBEDDED_TOGETHER):
+                part = batch.iloc[begin : begin + EMBEDDED_TOGETHER]
+                filled = part[text].notna()
+                try:
+                    vectors, error = iter(provider.embed(list(part[text][filled]))), None
+                    made = [next(vectors) if there else None for there in filled]
+                except Exception as e:  # noqa: BLE001
+                    made, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({key: part[key], "embedding": made, "error": error})
+
+    return df.select(key, text).mapInPandas(call, f"{key} {dict(df.dtypes)[key]}, embedding array<float>, error string")
+
+
+def store_index(made: DataFrame, path: str, quarantine: str) -> None:
+    """Write what could be embedded to ``path`` and the rest, with its errors, to ``quarantine``."""
+    kept = made.persist()
+    kept.where("error IS NULL").drop("error").write.mode("overwrite").parquet(path)
+    kept.where("error IS NOT NULL").write.mode("overwrite").parquet(quarantine)
+    kept.unpersist()
 
 
 def resumed(pending: DataFrame, key: str, step: Callable[[DataFrame], DataFrame], path: str, log: str | None = None) -> DataFrame:

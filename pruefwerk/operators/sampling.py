@@ -43,9 +43,15 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int =
 
 
 def balanced_quota(df: DataFrame, kind: str, key: str, target: int, kinds: list[str], seed: int = 42) -> DataFrame:
-    """A third of the target of each of three kinds; the remainder goes to the first kinds in order."""
+    """An equal share of the target of each kind; the remainder goes to the first kinds in order.
+
+    What a kind lacks is filled up with rows of the other kinds in the order of their draws.
+    """
     quota = F.lit(target // len(kinds)) + F.coalesce(*(F.when(F.col(kind) == k, F.lit(int(i < target % len(kinds)))) for i, k in enumerate(kinds)))
     order = Window.partitionBy(kind).orderBy(seeded(F.col(key), seed), key)
-    # the constant lets Spark drop rows before they are shuffled and sorted
-    most = -(-target // len(kinds))
-    return df.where(F.col(kind).isin(kinds)).withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= most).where(F.col("draw") <= quota)
+    # the constant lets Spark drop rows before they are shuffled and sorted; at most target rows of each kind are left
+    drawn = df.where(F.col(kind).isin(kinds)).withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= target)
+    marked = drawn.withColumn("within", F.col("draw") <= quota)
+    n_within = F.count_if("within").over(Window.partitionBy())
+    ranked = marked.withColumn("n_within", n_within).withColumn("at", F.row_number().over(Window.partitionBy("within").orderBy("draw", seeded(F.col(key), seed), key)))
+    return ranked.where(F.col("within") | (F.col("at") <= target - F.col("n_within"))).drop("within", "n_within", "at")

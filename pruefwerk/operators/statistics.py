@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import tails
+
 TIE = 1e-9
 SCORES = ("base_corr", "sem_corr", "raw_corr", "sem_faith", "raw_faith")
 ALPHA, Z95 = 0.05, 1.959963984540054
 RANGES = 64
+#: Exact distributions are used up to so many differences, and so many rows of the smaller side of two.
+EXACT_SIGNED, EXACT_SIDE, EXACT_PRODUCT = 50, 8, 100_000
 
 
 def long_scores(wide: DataFrame) -> DataFrame:
@@ -50,6 +54,18 @@ def value_ranks(values: DataFrame, *groups: str) -> DataFrame:
 
 def wilcoxon(wide: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     """Signed ranks of ``x - y`` without zeros: W+, z with tie correction, effect, and how the pairs differ."""
+    return _signed_ranks(wide, x, y, *groups).drop("m", "ties")
+
+
+def wilcoxon_p(wide: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
+    """``groups, n, w_plus, z, p``: p that ``x`` is greater; exact for at most 50 differences without zeros and ties."""
+    tested = _signed_ranks(wide, x, y, *groups)
+    exact = (F.col("m") <= EXACT_SIGNED) & (F.col("ties") == 0) & (F.col("n_ties") == 0)
+    p = F.when(exact, tails.signed_rank_of("w_plus", "m")).otherwise(tails.normal_sf_of("z"))
+    return tested.select(*groups, "n", "w_plus", "z", p.alias("p"))
+
+
+def _signed_ranks(wide: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     d = wide.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.round(F.col(x) - F.col(y), 9).alias("d"))
     signs = d.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"),
@@ -64,12 +80,24 @@ def wilcoxon(wide: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     joined = signs.join(sums, list(groups)) if groups else signs.join(F.broadcast(sums), F.lit(True))
     return joined.select(
         *groups, "n", "n_pos", "n_neg", "n_ties", "mean_diff", F.coalesce(F.try_divide("mean_diff", "sd_diff"), F.lit(0.0)).alias("d_z"),
-        "w_plus", z.alias("z"), (z / F.sqrt(m)).alias("rank_biserial"),
+        "w_plus", z.alias("z"), (z / F.sqrt(m)).alias("rank_biserial"), "m", "ties",
     )
 
 
 def mann_whitney(scores: DataFrame, group: Column) -> DataFrame:
     """U of the rows where ``group`` holds against the rest, z with tie and continuity correction, effect."""
+    return _rank_sums(scores, group).drop("ties")
+
+
+def mann_whitney_p(scores: DataFrame, group: Column) -> DataFrame:
+    """``n1, n2, u, z, p``: p that the rows of ``group`` are greater; exact where one side has at most 8 and no ties."""
+    tested = _rank_sums(scores, group)
+    exact = (F.least("n1", "n2") <= EXACT_SIDE) & (F.col("n1") * F.col("n2") <= EXACT_PRODUCT) & (F.col("ties") == 0)
+    p = F.when(exact, tails.rank_sum_of("u", "n1", "n2")).otherwise(tails.normal_sf_of("z"))
+    return tested.select("n1", "n2", "u", "z", p.alias("p"))
+
+
+def _rank_sums(scores: DataFrame, group: Column) -> DataFrame:
     values = scores.select(F.round("score", 9).alias("value"), group.alias("first"))
     firsts = values.groupBy("value").agg(F.count_if("first").alias("n_first"))
     ranks = value_ranks(values.select("value")).join(firsts, "value")
@@ -78,7 +106,7 @@ def mann_whitney(scores: DataFrame, group: Column) -> DataFrame:
     n2 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
     z = F.try_divide(u - n1 * n2 / 2 - 0.5, F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))))
-    return sums.select("n1", (F.col("n") - F.col("n1")).alias("n2"), u.alias("u"), z.alias("z"), F.try_divide(2 * u, n1 * n2).alias("u_share")).withColumn("rank_biserial", F.col("u_share") - 1).drop("u_share")
+    return sums.select("n1", (F.col("n") - F.col("n1")).alias("n2"), u.alias("u"), z.alias("z"), (F.try_divide(2 * u, n1 * n2) - 1).alias("rank_biserial"), "ties")
 
 
 def friedman(wide: DataFrame, columns: list[str], *groups: str) -> DataFrame:
@@ -114,20 +142,56 @@ def scheirer_ray_hare(scores: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.explode(F.array(*(F.struct(F.lit(e).alias("effect"), F.try_divide(ss, ms).alias("h"), df.alias("df")) for e, ss, df in effects))).alias("e")).select("e.*")
 
 
+def scheirer_ray_hare_p(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """The test with p of each effect by the chi square distribution."""
+    return scheirer_ray_hare(scores, a, b).withColumn("p", tails.chi2_sf_of("h", "df"))
+
+
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns with its Fisher interval, and the mean absolute difference."""
     both = pairs.dropna(subset=[x, y]).select(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
     cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     rank = lambda c: value_ranks(both.select(F.col(c).alias("value"))).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
     ranked = cells.join(rank("x"), "x").join(rank("y"), "y")
+    return _correlated(ranked)
+
+
+def _correlated(ranked: DataFrame, *groups: str) -> DataFrame:
+    """Correlation of the ranks ``rx, ry`` of pairs ``x, y`` that are there ``c`` times."""
     w = lambda e: F.sum(F.col("c") * e)
-    m = ranked.agg(F.sum("c").alias("n"), w(F.col("rx")).alias("sx"), w(F.col("ry")).alias("sy"), w(F.col("rx") * F.col("rx")).alias("sxx"), w(F.col("ry") * F.col("ry")).alias("syy"), w(F.col("rx") * F.col("ry")).alias("sxy"), w(F.abs(F.col("x") - F.col("y"))).alias("gap"))
+    m = ranked.groupBy(*groups).agg(F.sum("c").alias("n"), w(F.col("rx")).alias("sx"), w(F.col("ry")).alias("sy"), w(F.col("rx") * F.col("rx")).alias("sxx"), w(F.col("ry") * F.col("ry")).alias("syy"), w(F.col("rx") * F.col("ry")).alias("sxy"), w(F.abs(F.col("x") - F.col("y"))).alias("gap"))
     n = F.col("n").cast("double")
     rho = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))))
-    out = m.select("n", rho.alias("rho"), (F.col("gap") / n).alias("mae"))
+    out = m.select(*groups, "n", rho.alias("rho"), (F.col("gap") / n).alias("mae"))
     half = Z95 / F.sqrt(F.col("n") - 3)
     bound = lambda sign: F.when(F.col("n") > 3, F.when(F.abs("rho") >= 1, F.signum("rho")).otherwise(F.tanh(F.atanh("rho") + sign * half)))
-    return out.select("n", "rho", bound(-1).alias("rho_low"), bound(1).alias("rho_high"), "mae")
+    return out.select(*groups, "n", "rho", bound(-1).alias("rho_low"), bound(1).alias("rho_high"), "mae")
+
+
+def spearman_by(pairs: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """``spearman`` for each group."""
+    both = pairs.dropna(subset=[group, x, y]).select(group, F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+    rank = lambda c: value_ranks(both.select(group, F.col(c).alias("value")), group).select(group, F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
+    ranked = both.groupBy(group, "x", "y").agg(F.count(F.lit(1)).alias("c")).join(rank("x"), [group, "x"]).join(rank("y"), [group, "y"])
+    return _correlated(ranked, group)
+
+
+def spearman_p(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """``spearman`` with the two-sided p of no correlation, by Student's distribution with n - 2 degrees of freedom."""
+    t = F.abs("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.col("n") > 2, F.when(F.abs("rho") >= 1, 0.0).otherwise(2 * tails.student_sf_of(t, F.col("n") - 2)))
+    return spearman(pairs, x, y).withColumn("p", F.least(F.lit(1.0), p))
+
+
+def shapiro(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataFrame:
+    """``group, n, w, p, normal`` by Royston's approximation, over how often each value is there; no W under 3 values.
+
+    A group's different values go to one task; scores are rounded to three digits, so that there are few of them.
+    """
+    counts = scores.where("score IS NOT NULL").groupBy(F.col(group).cast("string").alias("name"), F.round("score", 3).alias("value")).agg(F.count(F.lit(1)).alias("t"))
+    return counts.groupBy("name").applyInPandas(tails.shapiro_rows, "name string, n bigint, w double, p double").select(
+        F.col("name").alias(group), "n", "w", "p", F.coalesce(F.col("p") > alpha, F.lit(False)).alias("normal")
+    )
 
 
 def confusion(pairs: DataFrame, *groups: str) -> DataFrame:

@@ -48,6 +48,23 @@ def rag_topk_neighbors(spark, sf_dir):
     return _rounded(_neighbors(spark, sf_dir), 5)
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centres = retrieval.cells_of(vectors, retrieval.N_CELLS)
+    return retrieval.ann_neighbors(vectors.where("id % 20 = 0"), vectors, centres, retrieval.N_PROBE)
+
+
+@query
+def ann_neighbors(spark, sf_dir):
+    return _rounded(_indexed(spark, sf_dir), 5)
+
+
+@query
+def ann_recall(spark, sf_dir):
+    """The index against the exact neighbours of all queries."""
+    return retrieval.recall(_indexed(spark, sf_dir), _neighbors(spark, sf_dir))
+
+
 @query
 def rag_topk_context(spark, sf_dir):
     return retrieval.contexts(_neighbors(spark, sf_dir), table(spark, sf_dir, "documents", F.col("doc_id").alias("vec_id"), "text"))
@@ -290,7 +307,7 @@ def hypothesis_report(spark, sf_dir):
     tests = _hypotheses(spark, sf_dir).withColumn("p", tails.normal_sf_of("z"))
     out = S.corrected(tests.select("test", "p")).join(tests.select("test", "n", "z"), "test")
     level = S.ALPHA / 3
-    return out.withColumn("significant_single", F.col("bonferroni") < S.ALPHA).withColumn("significant_reference", F.col("bonferroni") < level)
+    return _rounded(out).withColumn("significant_single", F.col("bonferroni") < S.ALPHA).withColumn("significant_reference", F.col("bonferroni") < level)
 
 
 @query

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,28 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
     return sheet.select(*(number(c).alias(c) if c in REVIEW_COLUMNS else F.col(c) for c in sheet.columns))
 
 
-def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], first: int = 1, last: int | None = None) -> DataFrame:
+def validation_sheet(labelled: DataFrame, machine: str, human: str, note: str = "checked by hand") -> DataFrame:
+    """Labelled rows with their agreement, 1 or 0, and a note, as they are written for a check of the labels."""
+    return labelled.withColumn("agreement", F.col(machine).eqNullSafe(F.col(human)).cast("int")).withColumn("note", F.lit(note))
+
+
+def write_validation(sheet: DataFrame, path: str) -> None:
+    sheet.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).csv(path)
+
+
+def score_of(record, system: str, metric: str):
+    """The score of a JSON record: nested under system and metric, else flat; null where it is no number."""
+    nested = F.get_json_object(record, f"$.{system}.{metric}")
+    flat = F.get_json_object(record, f"$.{system}_{metric}")
+    is_object = nested.startswith("{")
+    found = F.when(is_object, F.get_json_object(record, f"$.{system}.{metric}.score")).otherwise(flat)
+    return F.when(found == "true", 1.0).when(found == "false", 0.0).otherwise(found.try_cast("double"))
+
+
+def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterable[str]], first: int = 1, last: int | None = None) -> DataFrame:
     """``path, page_number, text, error`` of documents; ``extract`` gives the text of each page of one.
 
-    A document that can't be read gives a row with the error instead of stopping the others.
+    Pages are taken from ``extract`` one by one, and none after ``last``. A document that can't be read gives a row with the error instead of stopping the others.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,14 +69,13 @@ def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], l
             rows = []
             for name, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows += [(name, n, text, None) for n, text in enumerate(extract(content), 1)]
+                    rows += [(name, n, text, None) for n, text in enumerate(islice(extract(content), first - 1, last), first)]
                 except Exception as error:  # noqa: BLE001
                     rows.append((name, None, None, str(error)))
             yield pd.DataFrame(rows, columns=["path", "page_number", "text", "error"])
 
     pages = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, page_number int, text string, error string")
-    inside = F.col("page_number") >= first if last is None else F.col("page_number").between(first, last)
-    return pages.where(F.col("page_number").isNull() | inside)
+    return pages
 
 
 def cropped(pages: DataFrame, header: float = 0.0, footer: float = 0.1) -> DataFrame:
