@@ -19,7 +19,7 @@ from ..functions.text import collapse_whitespace
 TOP_K = 8
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
 #: Cells of the index, and the bound of the rows they are fitted on.
-N_CELLS, N_PROBE, FIT_ROWS = 32, 18, 20_000
+N_CELLS, N_PROBE, FIT_ROWS = 32, 22, 20_000
 
 
 def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
