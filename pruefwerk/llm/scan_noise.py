@@ -42,6 +42,8 @@ FURNITURE_SHARE, FURNITURE_LEAST = 0.1, 3
 TOP_LINES, BOTTOM_LINES = 2, 3
 #: Furniture of more scripts than this is joined by a shuffle instead of being sent to all workers.
 BROADCAST_SCRIPTS = 20_000
+#: And candidates of garbled headers only where there are no more than this.
+BROADCAST_PIECES = 100_000
 #: A header that no two pages spell alike counts from this share of the pages on, and at least so many pages.
 GARBLED_SHARE, GARBLED_LEAST = 0.3, 4
 #: Letters of a key in each of the four pieces by which garbled headers are brought together.
@@ -58,6 +60,7 @@ _WORD = re.compile(r"[^\W_]+")
 _LETTER_SPACED = re.compile(r"\b[^\W\d_](?: [^\W\d_]){3,}\b")
 #: Code and formulas are left as they are.
 _UNREAD = re.compile(r"(```.*?(?:```|\Z)|\$[^$\n]*\$|^[^\n]*\b0x[0-9A-F]{2}, [^\n]*$)", re.S | re.M)
+_UNREAD_MARKED, _BYTES = re.compile(r"(```.*?(?:```|\Z)|\$[^$\n]*\$)", re.S), re.compile(r"\b0x[0-9A-F]{2}, ")
 _DIGIT_INSIDE = re.compile(r"[^\W\d_]{2}[01568]+[^\W\d_]{2}|^[01568][^\W\d_]{4,}$|^[^\W\d_]{5,}[01]$")
 _NUMBER = r"(?:(?:seite|blatt|page|s\.|p\.|bl\.)\s*)?\d{1,5}(?:\s*(?:/|von|of)\s*\d{1,5})?"
 _NUMBER_LINE = re.compile(rf"^\s*([\[(–—|·•-]*\s*{_NUMBER}\s*[\])–—|·•-]*)\s*$", re.I)
@@ -66,7 +69,7 @@ _NUMBERED_TITLE = re.compile(r"^\s*([^\W\d_]{3,20})\s+(?:\d{1,3}|[IVXL]{1,6})\s*
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 _WIDE = re.compile(r"\s{3,}")
 #: Letters that a page number with its words has at most, as images.
-_NUMBER_LETTERS = 40
+_NUMBER_LETTERS = 20
 _MARKS = ("-", "‐", "\u00ad", "¬")
 _HEAD = re.compile(r"\s*([^\W\d_]+)")
 _KEPT_LINE = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\||#{1,6}\s|```|\d+(?:\.\d+)+\s)")
@@ -74,6 +77,11 @@ _KEPT_LINE = re.compile(r"^\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\||#{1,6}\s|```|\d+(?:
 _SUSPENDED = frozenset("und oder bzw sowie noch als bis statt and or to nor".split())
 
 
+def looks_length(line: str) -> int:
+    """The length of the image of the letters and digits of a lower-case line."""
+    return sum(map(str.isalnum, line)) + sum(map(line.count, "hünkdw")) + 2 * line.count("m")
+
+
 def looks(word: str) -> str:
     """The image of a lower-case word; words with equal images may be read for one another."""
     return word.translate(_LOOKS)
@@ -141,15 +149,20 @@ def garbled_headers(keys: DataFrame, pages: DataFrame) -> DataFrame:
     group = ["script_id", "place", "piece"]
     apart = keys.where(size >= 2 * PIECE).select("script_id", "key", "n", F.inline(pieces))
     together = apart.groupBy(*group).agg(F.sum("n").alias("n_pages"), F.count(F.lit(1)).alias("n_keys"))
-    candidates = together.join(pages, "script_id").where("n_keys > 1 AND n_pages >= least").select(*group, "least")
-    lengths = apart.join(candidates, group).groupBy(*group, "least", size.alias("length")).agg(F.sum("n").alias("m"))
+    candidates = cut_lineage(together.join(pages, "script_id").where("n_keys > 1 AND n_pages >= least").select(*group, "least"))
+    n = candidates.count()
+    if not n:
+        return keys.select("script_id", "key").limit(0)
+    # a piece on so many pages is rare; if there are many, they are joined by a shuffle
+    few = F.broadcast if n <= BROADCAST_PIECES else lambda df: df
+    lengths = apart.join(few(candidates), group).groupBy(*group, "least", size.alias("length")).agg(F.sum("n").alias("m"))
     usual = lengths.groupBy(*group, "least").agg(F.max_by("length", F.struct("m", "length")).alias("length"))
-    members = apart.join(usual, group)
+    members = apart.join(few(usual), group)
     letters = members.where(size == F.col("length")).select(*group, "n", F.posexplode(F.split("key", "")).alias("at", "letter"))
     votes = letters.groupBy(*group, "at", "letter").agg(F.sum("n").alias("m")).groupBy(*group, "at").agg(F.max_by("letter", F.struct("m", "letter")).alias("letter"))
     spelled = votes.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "letter")))["letter"], "").alias("header"))
     most = F.greatest(F.lit(1), F.floor(F.length("header") / EDIT_EVERY).cast("int"))
-    near = members.join(spelled, group).where((F.abs(size - F.length("header")) <= most) & (F.levenshtein("key", "header") <= most))
+    near = members.join(few(spelled), group).where((F.abs(size - F.length("header")) <= most) & (F.levenshtein("key", "header") <= most))
     return near.groupBy(*group, "least", "header").agg(F.sum("n").alias("m")).where("m >= least").select("script_id", F.col("header").alias("key")).distinct()
 
 
@@ -297,7 +310,7 @@ def without_furniture(lines: list[str], page: int | None, script: dict, whole_pa
         line = lines[i]
         if not line.strip():
             continue
-        if len(line) > longest and not _NUMBERED_TITLE.match(line) and len(looks("".join(_WORD.findall(line.lower())))) > longest:
+        if 2 * len(line) > longest and looks_length(line.lower()) > longest and not _NUMBERED_TITLE.match(line):
             continue  # more letters than any header with a number
         key, number, found_style, title = line_parts(line)
         if key:
@@ -379,6 +392,16 @@ def paragraphs(lines: list[str], words: Vocabulary) -> tuple[str, bool]:
     return "\n".join(out).strip("\n"), divided
 
 
+def _whole(text: str, word: str) -> Iterator[int]:
+    """Where a word stands in a text, not within another one."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not text[at - 1 : at].isalnum() and not text[end : end + 1].isalnum():
+            yield at
+        at = text.find(word, at + 1)
+
+
 def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
     """The text with misread words put right, and whether there were any. Code stays as it is."""
     found = False
@@ -392,9 +415,8 @@ def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
         found = True
         return word
 
-    def put_right(match: re.Match) -> str:
+    def put_right(word: str, first: bool) -> str:
         nonlocal found
-        word = match.group()
         lower = word.lower()
         if len(word) < 3 or word.isdigit() or words.knows[lower]:
             return word
@@ -406,15 +428,24 @@ def corrected(text: str, words: Vocabulary) -> tuple[str, bool]:
             found = found or bool(_DIGIT_INSIDE.search(word))
             return word
         found = True
-        return reading.upper() if len(word) > 1 and word.isupper() else reading[0].upper() + reading[1:] if word[0].isupper() or word[0].isdigit() and match.start() == 0 else reading
+        return reading.upper() if len(word) > 1 and word.isupper() else reading[0].upper() + reading[1:] if word[0].isupper() or word[0].isdigit() and first else reading
 
-    parts = _UNREAD.split(text)
+    parts = _UNREAD.split(text) if _BYTES.search(text) else _UNREAD_MARKED.split(text) if "$" in text or "```" in text else [text]
+    known = words.knows
     for i in range(0, len(parts), 2):
         part = _LETTER_SPACED.sub(joined, parts[i])
-        # most parts have only known words; only those that don't are gone through word by word
-        known = words.knows
-        if any(not known[word] and len(word) > 2 and not word.isdigit() for word in set(_WORD.findall(part.lower()))):
-            part = _WORD.sub(put_right, part)
+        # most words are known; only the places of those that aren't are looked at
+        lower = part.lower()
+        unknown = [word for word in set(_WORD.findall(lower)) if not known[word] and len(word) > 2 and not word.isdigit()]
+        if unknown and len(lower) != len(part):
+            part = _WORD.sub(lambda match: put_right(match.group(), match.start() == 0), part)
+        elif unknown:
+            places = sorted((at, at + len(word)) for word in unknown for at in _whole(lower, word))
+            pieces, end = [], 0
+            for begin, stop in places:
+                pieces += [part[end:begin], put_right(part[begin:stop], begin == 0)]
+                end = stop
+            part = "".join(pieces) + part[end:]
         parts[i] = part
     return "".join(parts), found
 
