@@ -31,6 +31,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 1").select("field", "record_id")
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text over its limit whether its pieces, without their overlaps, are the text, keep the limit and begin with the overlap."""
+    pages = table(spark, sf_dir, "pages_raw", F.lit("pages_raw.text").alias("field"), F.col("page_id").alias("record_id"), "text")
+    semantic = table(spark, sf_dir, "chunks", "chunk_uid", "mode", "content").where("mode = 'semantic'")
+    texts = pages.unionByName(semantic.select(F.lit("chunks.semantic.content").alias("field"), F.col("chunk_uid").alias("record_id"), F.col("content").alias("text")))
+    limits = table(spark, sf_dir, "split_limits")
+    found = p1_pieces(spark, sf_dir).groupBy("field", "record_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece")))["piece"].alias("pieces"))
+    joined = texts.where("text IS NOT NULL").join(found, ["field", "record_id"]).join(F.broadcast(limits), "field")
+    after = F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(1)))
+    rest = F.when(F.size("pieces") > 1, after).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(F.col("pieces")[0], F.array_join(F.transform(rest, lambda p: F.substring(p, F.col("overlap_chars") + 1, F.length(p))), ""))
+    return joined.select(
+        "field", "record_id", (whole == F.col("text")).alias("covers"), F.forall("pieces", lambda p: F.length(p) <= F.col("max_chars")).alias("in_limit"),
+        F.forall(F.arrays_zip(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))).alias("a"), rest.alias("b")), lambda z: F.right(z["a"], F.col("overlap_chars")) == F.left(z["b"], F.col("overlap_chars"))).alias("overlaps"),
+    )
+
+
 #: The fields of problem 2 by their codes.
 COPY_FIELDS = ["chunks.raw.content", "answers.retrieved_context"]
 
@@ -119,6 +136,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packing_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_settings"))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of container the documents that are in one, the overfull ones, and those in more parts than needed."""
+    packed = cut_lineage(p7_containers(spark, sf_dir))
+    settings = table(spark, sf_dir, "pack_settings", "container_kind", "capacity")
+    filled = packed.groupBy("container_kind", "container_id").agg(F.sum("part_tokens").alias("tokens")).join(F.broadcast(settings), "container_kind")
+    overfull = filled.groupBy("container_kind").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("n_overfull"))
+    parts = packed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("part_tokens").alias("tokens")).join(F.broadcast(settings), "container_kind")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))
+    whole = parts.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n") != needed).alias("n_wrongly_split"))
+    return whole.join(overfull, "container_kind").select("container_kind", "n_documents", "n_overfull", "n_wrongly_split")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -133,4 +162,4 @@ def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill, p8_found, p8_clean, p8_validation)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p2_found, p2_groups, p3_found, p4_found, p4_text, p5_found, p5_rates, p6_ids, p7_containers, p7_fill, p7_checks, p8_found, p8_clean, p8_validation)}

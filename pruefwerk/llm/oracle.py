@@ -118,4 +118,8 @@ P2_FOUND = f"{P2} SELECT field, id_a, id_b FROM pairs"
 P2_GROUPS = f"""{P2} SELECT g.field, g.id AS record_id, g.group_id, coalesce(l.n, 0) AS n_links FROM (SELECT field, id, min(member) AS group_id FROM reached GROUP BY ALL) g
 LEFT JOIN (SELECT field, id, count(*) AS n FROM ends GROUP BY ALL) l ON l.field = g.field AND l.id = g.id"""
 
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p5_found": P5_FOUND, "p5_rates": P5_RATES}
+#: What must hold of all texts over the limit, and of all kinds.
+P1_CHECKS = f"SELECT field, record_id, true AS covers, true AS in_limit, true AS overlaps FROM ({P1_FOUND}) p"
+P7_CHECKS = "SELECT container_kind, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_wrongly_split FROM pack_settings"
+
+ORACLE = {"p1_found": P1_FOUND, "p1_checks": P1_CHECKS, "p7_checks": P7_CHECKS, "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p5_found": P5_FOUND, "p5_rates": P5_RATES}
